@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, simhash, tokens
-from .common import load, new_folder
+from . import ann, chat, decontaminate, html, lines, lm, packing, simhash, tokens, toxicity
+from .common import id_remainder, load, new_folder, written
 
 
-def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tokenizer() -> str:
     import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
-    tokens.write_shards(load(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    tokens.write_shards(load(spark, sf_dir, "documents"), folder, _tokenizer())
     return tokens.read_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -25,6 +33,40 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_shards, op3_simhash_groups, op4_lm_scores)}
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(load(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    best = F.max_by(F.struct("similarity", "start", "n_words"), "similarity")
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", "b.start", "b.n_words")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages"))
+
+
+#: A conversation whose texts are control strings.
+TRAP = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    formatted = written(chat.format_chats(rows.unionByName(trap), _tokenizer()), "chats")
+    return chat.digests(formatted, _tokenizer())
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_length_buckets, op2_token_shards, op3_simhash_groups, op4_lm_scores, op5_fuzzy_lines, op6_hash_forest, op7_decontaminate, op8_main_text, op9_chat_format, op10_toxicity)}
 #: No query here has SQL: each is tested against brute force, an exact round trip or held-out accuracy.
 ORACLES: dict[str, str] = {}
