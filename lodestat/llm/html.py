@@ -34,8 +34,8 @@ _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: Weight of neighbours in smoothing, the share of the mean fused ratio that a path must reach, and what multiplies
-#: the ratio of paths below an element that a page sets apart for its article.
-NEAR, THRESHOLD, PRIOR = 0.25, 0.35, {"": 1.0, "main": 2.0, "article": 4.0}
+#: the ratio of paths below an element that a page sets apart for its article, and of paths that hold nothing but lone links.
+NEAR, THRESHOLD, PRIOR, LINKS = 0.25, 0.4, {"": 1.0, "main": 2.0, "article": 4.0}, 0.5
 
 
 class Node:
@@ -114,12 +114,15 @@ def text_nodes(html: str) -> Iterator[Node]:
 def _ratios(nodes: list[Node]) -> dict[str, float]:
     """Fused ratio of each path: text and punctuation for each node, smoothed with the paths next to it on the page."""
     order: dict[str, list[float]] = {}
+    running = {n.block for n in nodes if not n.linked}  # a link inside running text is text
     for n in nodes:
         own = order.setdefault(n.path, [0.0, 0.0, 0.0, PRIOR[n.within]])
-        own[0] += 0 if n.linked else len(n.text.strip())
-        own[1] += 0 if n.linked else len(_PUNCTUATION.findall(n.text))
+        if not n.linked or n.block in running:
+            own[0] += len(n.text.strip())
+            own[1] += len(_PUNCTUATION.findall(n.text))
         own[2] += 1
     x = np.array(list(order.values()))
+    x[:, 3] *= np.where(x[:, 0] > 0, 1.0, LINKS)
     ratio = np.log1p(x[:, :2] / x[:, 2:3])  # one very long node does not outweigh a page
     if len(x) > 1:
         side = np.vstack([ratio[1:], ratio[-1:]]) + np.vstack([ratio[:1], ratio[:-1]])
