@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import numbers
+from ..functions.numeric import correlation, numbers
 from ..operators import cleaning, columns, combine, filters, grouping, ordering
 from ..operators.columns import POS
 from ..sources.tables import page_tables
@@ -376,7 +376,7 @@ def _(spark, d):
 
 @query("spearman", "SELECT count(*) AS n, round(corr(a, b), 6) AS r FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)")
 def _(spark, d):
-    return rounded(association.spearman_pairs(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")))
+    return rounded(association.spearman_pairs(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r")))
 
 
 @query("kendall_tau", """WITH x AS (SELECT quality AS a, toxic AS b FROM labels), c AS (SELECT a, b, count(*) AS n FROM x GROUP BY 1, 2)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import dtype, is_numeric_type, numbers, to_number
+from ..functions.numeric import correlation, dtype, is_numeric_type, numbers, to_number
 from ..operators.columns import POS, public, with_position
 from ..operators.ordering import top_values
 from ..stats.association import pairwise_correlations, spearman_pairs
@@ -152,7 +152,7 @@ def find_correlations(df: DataFrame, columns: list[str] | None = None, least: in
     for r in pairwise_correlations(df, names).collect() if len(names) > 1 else ():
         if r.n < least or r.r is None:
             continue
-        s = spearman_pairs(df, r.x, r.y).agg(F.corr("x", "y")).first()[0]
+        s = spearman_pairs(df, r.x, r.y).agg(correlation(F.col("x"), F.col("y"))).first()[0]
         use = s is not None and abs(s - r.r) > 0.1
         out.append({"x": r.x, "y": r.y, "n": r.n, "method": "spearman" if use else "pearson", "r": s if use else r.r})
     return sorted(out, key=lambda c: -abs(c["r"]))[:k]

@@ -91,7 +91,10 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
 
 @reader(".json")
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records, or a dictionary of columns (lists or dictionaries by row)."""
+    """A list of records, a dictionary of columns, or a record on each line."""
+    lines = [x for x in head_bytes(spark, path).decode("utf-8", "replace").splitlines() if x.strip()]
+    if len(lines) > 1 and all(x.strip().startswith("{") and x.strip().endswith("}") for x in lines[:2]):
+        return spark.read.json(path)
     df = spark.read.option("multiLine", True).json(path)
     kinds = {f.dataType.typeName() for f in df.schema}
     if kinds == {"array"} and df.count() == 1:

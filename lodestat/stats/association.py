@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
-from ..functions.numeric import numbers
+from ..functions.numeric import correlation, numbers
 from ..operators.columns import require
 from ..operators.grouping import crosstab as cells_of
 from ..operators.grouping import value_counts
@@ -45,7 +45,7 @@ def spearman_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _correlation(kind: str, p: DataFrame, level: float) -> Result:
-    r = p.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).first()
+    r = p.agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r")).first()
     if r.n < 3:
         return too_few(kind, r.n)
     t = correlation_test(r.r, r.n, level)
@@ -101,7 +101,7 @@ def pairwise_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, n, r) of each pair of columns over the rows that have both: one aggregation for all pairs."""
     c = dict(zip(columns, numbers(df, *columns), strict=True))
     both = lambda a, b: a.isNotNull() & b.isNotNull()
-    parts = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.count_if(both(c[a], c[b])).alias("n"), F.corr(F.when(both(c[a], c[b]), c[a]), F.when(both(c[a], c[b]), c[b])).alias("r")) for a, b in combinations(columns, 2)]
+    parts = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.count_if(both(c[a], c[b])).alias("n"), correlation(c[a], c[b]).alias("r")) for a, b in combinations(columns, 2)]
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
@@ -111,7 +111,7 @@ def correlation_matrix(df: DataFrame, columns: Any = None, method: str = "pearso
     if len(names) < 2:
         raise AnalysisError("a correlation matrix takes two columns and more")
     if method == "spearman":
-        rows = [(a, b, *spearman_pairs(df, a, b).agg(F.count("*"), F.corr("x", "y")).first()) for a, b in combinations(names, 2)]
+        rows = [(a, b, *spearman_pairs(df, a, b).agg(F.count("*"), correlation(F.col("x"), F.col("y"))).first()) for a, b in combinations(names, 2)]
     else:
         rows = [tuple(r) for r in pairwise_correlations(df, names).collect()]
     table = [{"x": a, "y": b, "n": n, **{k: correlation_test(r, n)[k] for k in ("r", "p_value")}} for a, b, n, r in rows]

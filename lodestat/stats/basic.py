@@ -90,7 +90,7 @@ def welch(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row for the two groups in order of their labels: n, mean and variance of each, t and df."""
     g = group_moments(df, value, group).agg(F.sort_array(F.collect_list(F.struct("g", "n", "mean", "var"))).alias("x")).select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
     va, vb = F.col("a.var") / F.col("a.n"), F.col("b.var") / F.col("b.n")
-    return g.select("a.g", F.col("a.n").alias("n1"), F.col("a.mean").alias("mean1"), F.col("a.var").alias("var1"), F.col("b.n").alias("n2"), F.col("b.mean").alias("mean2"), F.col("b.var").alias("var2"), ((F.col("a.mean") - F.col("b.mean")) / F.sqrt(va + vb)).alias("t"), (F.pow(va + vb, 2) / (va * va / (F.col("a.n") - 1) + vb * vb / (F.col("b.n") - 1))).alias("df"))
+    return g.select("a.g", F.col("a.n").alias("n1"), F.col("a.mean").alias("mean1"), F.col("a.var").alias("var1"), F.col("b.n").alias("n2"), F.col("b.mean").alias("mean2"), F.col("b.var").alias("var2"), F.try_divide(F.col("a.mean") - F.col("b.mean"), F.sqrt(va + vb)).alias("t"), F.try_divide(F.pow(va + vb, 2), F.try_divide(va * va, F.col("a.n") - 1) + F.try_divide(vb * vb, F.col("b.n") - 1)).alias("df"))
 
 
 def anova_parts(g: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def welch_t_test(df: DataFrame, value_column: str | None = None, group_column: s
     if len(labels) != 2:
         raise AnalysisError("Welch's test compares exactly two groups")
     r = welch(df, value, group).first()
-    if min(r.n1, r.n2) < 2:
+    if min(r.n1, r.n2) < 2 or r.t is None:
         return too_few("welch_t_test", r.n1 + r.n2)
     diff, se = r.mean1 - r.mean2, math.sqrt(r.var1 / r.n1 + r.var2 / r.n2)
     half = D.t_ppf(0.5 + confidence_level / 2, r.df) * se

@@ -29,7 +29,7 @@ def benjamini_hochberg(p: list[float]) -> list[float]:
 
 
 def apply(r: dict, alpha: float = 0.05, least: int = 3) -> dict:
-    found = collect_p_values({k: v for k, v in r.items() if k in ("test", "tables", "estimate", "diagnostics")})
+    found = collect_p_values({k: v for k, v in r.items() if k in ("test", "tables", "diagnostics")})
     if len(found) >= least:
         p = [x for _, x in found]
         r["meta"]["multiple_comparisons"] = {"tests": len(p), "family_wise_error": round(1 - (1 - alpha) ** len(p), 6), "bonferroni": dict(zip([k for k, _ in found], [round(x, 6) for x in bonferroni(p)], strict=True)), "benjamini_hochberg": dict(zip([k for k, _ in found], [round(x, 6) for x in benjamini_hochberg(p)], strict=True))}
