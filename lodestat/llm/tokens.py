@@ -1,7 +1,7 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 A shard is three files in a shared folder: ``.ids`` (little-endian unsigned
-32-bit ids of its documents, back to back), ``.keys`` (their doc_ids,
+ids of its documents, back to back, two bytes each if the vocabulary allows), ``.keys`` (their doc_ids,
 ascending) and ``.index`` (the hash function, a stored fingerprint and the
 record range of each key, and the offsets of the records).  A key is found
 with a fixed number of probes and one ranged read of the payload.  Tasks write under a name of their own and
@@ -21,16 +21,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Distinct pieces of text of which a worker remembers the ids; others are encoded again.
+#: Distinct pieces of text of which a worker remembers the ids, twice over; others are encoded again.
 REMEMBERED = 400_000
 #: Bits per key and level of the hash function; levels before the rest is stored outright.
 GAMMA, LEVELS = 2.0, 24
 #: Bytes of payload read at once.
 READ = 8 << 20
 
-#: White space as the tokenizer's pattern has it; a piece is a run of other characters with one blank before it.
-_WS = "\t-\r \x85\xa0  -     　"
-_PIECES = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: White space as the tokenizer's pattern has it.
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and signs that meet in one of the pattern's borders.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+#: A piece is a run of other characters with one blank before it, cut where a sign follows letters only.
+_PIECES = re.compile(rf" ?(?:[{_LETTER}]++(?:(?=[{_SIGN}])|[^{_WS}]*+)|[^{_WS}]++)|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -39,7 +42,8 @@ class Encoder:
 
     Byte-level pre-tokenizing never joins text across the borders of pieces, so
     the ids of a text are those of its pieces; a text that holds the string of a
-    special token is encoded in one call.
+    special token is encoded in one call.  Ids are little-endian unsigned
+    integers of ``width`` bytes, two if the vocabulary allows it.
     """
 
     def __init__(self, path: str):
@@ -47,21 +51,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
+        """Ids of each text; null is the empty text."""
         cut = [None if any(s in t for s in self.special) else _PIECES.findall(t) for t in (t or "" for t in texts)]
-        new = list({p for pieces in cut if pieces for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            # forget only what the batch does not need: frequent pieces come back at once
-            self.known = {p: self.known[p] for pieces in cut if pieces for p in pieces if p in self.known} if len(self.known) > REMEMBERED else self.known
+        missing = set().union(*[pieces for pieces in cut if pieces]).difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED:
+            # what was not met since the last time is forgotten
+            self.known, self.older = {}, self.known
+            missing = set().union(*[pieces for pieces in cut if pieces])
+        again = self.older.keys() & missing
+        self.known.update((p, self.older[p]) for p in again)
+        new = list(missing - again)
         self.known.update(zip(new, self._ids(new), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) if pieces is not None else self._ids([t])[0] for t, pieces in zip(texts, cut, strict=True)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        kind = f"<u{self.width}"
+        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str) -> Encoder:
@@ -129,21 +140,21 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys.view(np.uint64), 0) >> np.uint64(32)).astype("<u4")
 
 
-def index_bytes(keys: np.ndarray, offsets: np.ndarray, nulls: int) -> bytes:
+def index_bytes(keys: np.ndarray, offsets: np.ndarray, nulls: int, width: int) -> bytes:
     """keys: doc_ids of all records but the first ``nulls``, ascending; offsets: of all records and the end, in ids."""
     own, first, count = np.unique(keys, return_index=True, return_counts=True)
     h = PerfectHash.build(own)
     slot = h.slot(own)
     table = np.zeros(len(own), [("fp", "<u4"), ("n", "<u4"), ("first", "<i8")])
     table["fp"][slot], table["n"][slot], table["first"][slot] = fingerprint(own), count, first + nulls
-    head = np.array([len(own), nulls, len(offsets), len(h.sizes), len(h.words), len(h.last)], "<i8")
+    head = np.array([len(own), nulls, len(offsets), len(h.sizes), len(h.words), len(h.last), width], "<i8")
     return b"".join(x.tobytes() for x in (head, np.array(h.sizes, "<i8"), h.words.astype("<u8"), h.last.astype("<u8"), table, offsets.astype("<i8")))
 
 
 class Index:
     def __init__(self, data: bytes):
-        n, self.nulls, n_off, n_sizes, n_words, n_last = (int(x) for x in np.frombuffer(data, "<i8", 6))
-        at = 48
+        n, self.nulls, n_off, n_sizes, n_words, n_last, self.width = (int(x) for x in np.frombuffer(data, "<i8", 7))
+        at = 56
 
         def take(kind, k):
             nonlocal at
@@ -194,7 +205,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context, (fs, root), enc = TaskContext.get(), _fs(folder), encoder(tokenizer)
-        shard, end = context.partitionId(), np.array([end_id], "<u4").tobytes()
+        shard, width = context.partitionId(), enc.width
+        end = end_id.to_bytes(width, "little")
         own = f"{_name(root, shard, 'ids')}.{context.taskAttemptId()}.part"
         keys, sizes, nulls, out = [], [], 0, None
         for pdf in batches:
@@ -206,7 +218,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                 for ids in enc.encode([t if isinstance(t, str) else None for t in part["text"]]):
                     out.write(ids)
                     out.write(end)
-                    sizes.append(len(ids) // 4 + 1)
+                    sizes.append(len(ids) // width + 1)
             nulls += int(pdf["doc_id"].isna().sum())
             keys.append(pdf["doc_id"].dropna().to_numpy(np.int64))
         if out is None:
@@ -215,7 +227,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         fs.move(own, _name(root, shard, "ids"))
         key, offsets = np.concatenate(keys).astype("<i8"), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         _put(fs, _name(root, shard, "keys"), key.tobytes())
-        _put(fs, _name(root, shard, "index"), index_bytes(key, offsets, nulls))
+        _put(fs, _name(root, shard, "index"), index_bytes(key, offsets, nulls, width))
         first, last = (int(key[0]), int(key[-1])) if len(key) else (None, None)
         yield pd.DataFrame({"shard": [shard], "n_docs": [len(sizes)], "n_ids": [int(offsets[-1])], "first_id": pd.array([first], "Int64"), "last_id": pd.array([last], "Int64")})
 
@@ -248,16 +260,17 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _records(fs, root, shard, index, record, doc, base) -> Iterator[pd.DataFrame]:
-    start, end = index.offsets[record], index.offsets[record + 1]
+    """Records in runs that lie together; ids come out as unsigned 32-bit integers whatever the file's width."""
+    start, end, width = index.offsets[record], index.offsets[record + 1], index.width
     with fs.open_input_file(_name(root, shard, "ids")) as payload:
         at = 0
         while at < len(record):
             to = at + 1
-            while to < len(record) and start[to] == end[to - 1] and (end[to] - start[at]) * 4 <= READ:
+            while to < len(record) and start[to] == end[to - 1] and (end[to] - start[at]) * width <= READ:
                 to += 1
-            data = payload.read_at(int(end[to - 1] - start[at]) * 4, int(start[at]) * 4)
-            ids = [data[(a - start[at]) * 4 : (b - start[at]) * 4] for a, b in zip(start[at:to], end[at:to], strict=True)]
-            yield pd.DataFrame({"doc_id": doc[at:to], "start": start[at:to] + base, "n_tokens": end[at:to] - start[at:to], "ids": ids})
+            ids = np.frombuffer(payload.read_at(int(end[to - 1] - start[at]) * width, int(start[at]) * width), f"<u{width}").astype("<u4").tobytes()
+            own = [ids[(a - start[at]) * 4 : (b - start[at]) * 4] for a, b in zip(start[at:to], end[at:to], strict=True)]
+            yield pd.DataFrame({"doc_id": doc[at:to], "start": start[at:to] + base, "n_tokens": end[at:to] - start[at:to], "ids": own})
             at = to
 
 
