@@ -21,9 +21,11 @@ from .common import shuffle_buckets, written
 #: Members up to which one pigeonhole group is searched whole.
 GROUP = 4096
 #: Rows of one bucket of groups, the unit that one Python call gets.
-BUCKET = 60_000
+BUCKET = 40_000
+#: Rows of a bucket that is searched by one index: the nodes a query visits grow with it.
+INDEXED = 4_000
 #: Children of a node of the index, and queries searched together.
-FANOUT, QUERIES = 16, 2048
+FANOUT, QUERIES = 8, 2048
 
 
 def _blocks(bits: list[int], n: int) -> list[list[int]]:
@@ -36,8 +38,13 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def block_mask(k: int, n: int) -> int:
+    """Bits of the k-th of n blocks of a fingerprint, as a signed number."""
+    return _mask(_blocks(list(range(64)), n)[k])
+
+
 def grouped(fps: DataFrame, radius: int = 3, group: int = GROUP) -> DataFrame:
-    """Distinct fingerprints (fp long) -> (fp, gid): fingerprints within ``radius`` share a gid at least once.
+    """Distinct fingerprints (fp long) -> (fp, gid, b): fingerprints within ``radius`` share a gid for every block b they agree on.
 
     gid is a 64-bit hash of the group's key; a chance collision only merges two
     groups, which adds comparisons and changes no result.
@@ -47,22 +54,22 @@ def grouped(fps: DataFrame, radius: int = 3, group: int = GROUP) -> DataFrame:
     level = written(fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("b"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_mask(bits)))).alias("gid")) for k, bits in enumerate(first)])).alias("x")).select("fp", "x.b", "x.gid"), "blocks")
     hot = written(level.groupBy("gid").count().where(F.col("count") > group), "hot")
     if hot.isEmpty():
-        return level.select("fp", "gid")
-    cold = level.join(hot, "gid", "left_anti").select("fp", "gid")
+        return level.select("fp", "gid", "b")
+    cold = level.join(hot, "gid", "left_anti").select("fp", "gid", "b")
     split = level.join(hot, "gid").drop("count")
     parts = [[F.struct(F.xxhash64("gid", F.lit(j), F.col("fp").bitwiseAND(F.lit(_mask(sub)))).alias("gid")) for j, sub in enumerate(_blocks([x for x in range(64) if x not in bits], radius + 1))] for bits in first]
     chosen = F.array(*parts[0])
     for k in range(1, len(parts)):
         chosen = F.when(F.col("b") == k, F.array(*parts[k])).otherwise(chosen)
-    split = written(split.select("fp", F.explode(chosen).alias("x")).select("fp", "x.gid"), "split")
+    split = written(split.select("fp", "b", F.explode(chosen).alias("x")).select("fp", "x.gid", "b"), "split")
     large = written(split.groupBy("gid").count().where(F.col("count") > group), "hot")
     if large.isEmpty():
         return cold.unionAll(split)
     fine = split.join(large, "gid", "left_anti")
     chunks = F.ceil(F.col("count") * 2 / group).cast("int")
     mine = split.join(large, "gid").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
-    paired = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("fp", F.xxhash64("gid", F.least("c", "o"), F.greatest("c", "o")).alias("gid"))
-    return cold.unionAll(fine.select("fp", "gid")).unionAll(paired)
+    paired = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("fp", F.xxhash64("gid", F.least("c", "o"), F.greatest("c", "o")).alias("gid"), "b")
+    return cold.unionAll(fine.select("fp", "gid", "b")).unionAll(paired)
 
 
 def bucketed(rows: DataFrame, n: int, per_bucket: int = BUCKET) -> DataFrame:
@@ -130,42 +137,61 @@ def least_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def pairs_within(gid: np.ndarray, codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_within(gid: np.ndarray, codes: np.ndarray, radius: int, small: int = 96) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of pairs of one group within ``radius``; rows sorted by gid.
 
-    Small groups are compared by shifted arrays, large ones through the index.
+    Groups of up to ``small`` rows are compared by shifted arrays, larger ones through the index.
     """
     start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
     size = np.diff(np.append(start, len(gid)))
-    small = np.repeat(size <= FANOUT, size)
-    for s in range(1, FANOUT):
-        i = np.flatnonzero(small[:-s] & (gid[s:] == gid[:-s])) if s < len(gid) else np.array([], int)
-        if not len(i):
-            break
-        i = i[np.bitwise_count(codes[i] ^ codes[i + s]) <= radius]
-        yield i, i + s
-    for at, n in zip(start[size > FANOUT], size[size > FANOUT], strict=True):
+    left = np.repeat(np.where(size <= small, start + size, 0), size)  # one past the last row of a small group
+    i = np.flatnonzero(left > np.arange(len(gid)) + 1)
+    s = 1
+    while len(i):
+        near = i[np.bitwise_count(codes[i] ^ codes[i + s]) <= radius]
+        if len(near):
+            yield near, near + s
+        s += 1
+        i = i[i + s < left[i]]
+    for at, n in zip(start[size > small], size[size > small], strict=True):
         own = codes[at : at + n]
-        index = GrayIndex(own)
-        for k in range(0, n, QUERIES):
-            q, c = index.within(own[k : k + QUERIES], radius)
-            keep = c > q + k
-            yield at + k + q[keep], at + c[keep]
+        for q, c in index_pairs(own, radius):
+            yield at + q, at + c
+
 
+def index_pairs(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of all pairs within ``radius``, by searching one Gray-order index for all its codes."""
+    index = GrayIndex(codes)
+    for k in range(0, len(codes), QUERIES):
+        # queries in Gray order walk the same nodes
+        own = index.order[k : k + QUERIES]
+        q, c = index.within(codes[own], radius)
+        keep = c > own[q]
+        yield own[q[keep]], c[keep]
 
-def linked(fps: DataFrame, radius: int = 3, group: int = GROUP) -> DataFrame:
-    """Distinct fingerprints (fp long) -> edges (a, b) whose components are those of all links within ``radius``."""
+
+def linked(fps: DataFrame, radius: int = 3, group: int = GROUP, whole: bool = False) -> DataFrame:
+    """Distinct fingerprints (fp long) -> edges (a, b) whose components are those of all links within ``radius``.
+
+    ``whole`` searches one Gray-order index for each bucket of groups, else each group is searched by itself.
+    """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gid", kind="stable")
-        code = pdf["fp"].to_numpy().view(np.uint64)
+        if whole:  # one index over the bucket: links across its groups are links too
+            code = np.unique(pdf["fp"].to_numpy().view(np.uint64))
+            pairs = index_pairs(code, radius)
+        else:
+            pdf = pdf.sort_values("gid", kind="stable")
+            code = pdf["fp"].to_numpy().view(np.uint64)
+            pairs = pairs_within(pdf["gid"].to_numpy(), code, radius)
         label = np.arange(len(code))
-        for i, j in pairs_within(pdf["gid"].to_numpy(), code, radius):
-            label = least_labels(label, i, j)
+        for i, j in pairs:
+            if len(i):
+                label = least_labels(label, i, j)
         at = np.flatnonzero(label != np.arange(len(code)))
         signed = code.view(np.int64)
         return pd.DataFrame({"a": signed[at], "b": signed[label[at]]})
 
-    rows = written(grouped(fps, radius, group), "groups")
+    rows = written(grouped(fps, radius, group).drop("b"), "groups")
     n = rows.count()
-    return bucketed(rows, n).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
+    return bucketed(rows, n, INDEXED if whole else BUCKET).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()

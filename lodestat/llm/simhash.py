@@ -61,7 +61,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     fps = written(fingerprints(docs, shingle), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    parts = connected_components(linked(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    parts = connected_components(linked(classes.select("fp"), radius, whole=True)).withColumnRenamed("node", "fp")
     named = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = written(named.join(firsts, "component").select("fp", "component_id"), "named")

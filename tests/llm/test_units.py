@@ -105,6 +105,16 @@ def test_edit_distance_against_table():
         assert min(lines.edit_distance(a, b, most), most + 1) == min(plain(a, b), most + 1), (a, b)
 
 
+def test_line_hashes_against_plain_version():
+    xxhash = pytest.importorskip("xxhash")
+    rng = random.Random(12)
+    words = [[f"w{rng.randint(0, 60)}".encode() for _ in range(n)] for n in (5, 1, 254, 255, 256, 511, 2000, 7, *[rng.randint(1, 300) for _ in range(300)])]
+    for own, got in zip(words, lines.line_hashes(words).tolist(), strict=True):
+        h = [xxhash.xxh64_intdigest(w) for w in own]
+        assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert lines.normal_lines("A-b, C1!\n\nÉ") == [[b"a", b"b", b"c0"], [], ["é".encode()]]
+
+
 def test_chat_escapes_are_reversible_and_leave_no_control_string():
     rng = random.Random(7)
     for _ in range(3000):
@@ -126,7 +136,7 @@ def test_model_probabilities_of_next_bytes_sum_to_one():
     code = lm.prefix_code(np.bincount(np.frombuffer(b"".join(words) + b" \n", np.uint8), minlength=256))
     state, c = np.array([0, 1, 1, 0, 0, 1]), np.array([3, 2, 5, 1, 0, 4], np.float32)
     bits = lm.Bits(words, state, code)
-    n, n1 = bits.beginnings(words, np.zeros(6, np.int64), c)
+    n, n1 = bits.beginnings(bits.order(), np.zeros(6, np.int64), c)
     for k in range(len(bits.bit)):
         row = bits.word[k]
         own = "".join(map(str, bits.bit[bits.begin[row] : k]))
