@@ -23,6 +23,14 @@ MOST_LABELS = 10_000
 STRENGTH = ((0.2, "negligible"), (0.4, "weak"), (0.7, "moderate"), (math.inf, "strong"))
 
 
+def shown(rows: DataFrame, *order: Any, what: str = "rows", most: int | None = None) -> tuple[list, list[str]]:
+    """The first rows for a table that goes to the driver, and a warning with the number of those left out; statistics are made of all."""
+    most = MOST_LABELS if most is None else most
+    got = rows.orderBy(*order).limit(most).collect()
+    left = rows.count() - len(got) if len(got) == most else 0
+    return got, [f"the table of {what} leaves out {left} rows"] if left else []
+
+
 def pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
     a, b = numbers(df, *require(df, [x, y]))
     return df.select(a.alias("x"), b.alias("y")).dropna()
@@ -209,33 +217,48 @@ def fisher_exact(df: DataFrame, **p: Any) -> Result:
 @analysis("frequency")
 def frequency(df: DataFrame, columns: Any = None, column: Any = None, **_: Any) -> Result:
     names = require(df, as_list(columns or column))
-    tables = {c: [r.asDict() for r in value_counts(df, c).orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(MOST_LABELS).collect()] for c in names}
-    return result("frequency", df.count(), tables=tables)
+    tables, warnings = {}, []
+    for c in names:
+        rows, cut = shown(value_counts(df, c), F.desc("count"), F.asc_nulls_last("value"), what=c)
+        tables[c] = [r.asDict() for r in rows]
+        warnings += cut
+    return result("frequency", df.count(), warnings=warnings, tables=tables)
 
 
 @analysis("weighted_frequencies")
 def weighted_frequencies(df: DataFrame, weight_column: str, columns: Any = None, column: Any = None, **_: Any) -> Result:
-    tables = {}
+    tables, warnings = {}, []
     for c in require(df, as_list(columns or column)):
         w = df.select(F.col(f"`{c}`").cast("string").alias("value"), numbers(df, weight_column)[0].alias("w")).where("w > 0")
-        rows = w.groupBy("value").agg(F.sum("w").alias("weight"), F.count("*").alias("count")).orderBy(F.desc("weight"), F.asc_nulls_last("value")).limit(MOST_LABELS).collect()
-        total = sum(r.weight for r in rows)
+        rows, cut = shown(w.groupBy("value").agg(F.sum("w").alias("weight"), F.count("*").alias("count")), F.desc("weight"), F.asc_nulls_last("value"), what=c)
+        total = w.agg(F.sum("w")).first()[0]
         tables[c] = [{**r.asDict(), "percentage": 100 * r.weight / total} for r in rows]
-    return result("weighted_frequencies", df.count(), tables=tables)
+        warnings += cut
+    return result("weighted_frequencies", df.count(), warnings=warnings, tables=tables)
 
 
 @analysis("chi_square_gof")
 def goodness_of_fit(df: DataFrame, column: str | None = None, value_column: str | None = None, x: str | None = None, expected: Any = None, **_: Any) -> Result:
     """expected: shares or counts of the values, most frequent first (ties by value); default equal."""
     name = require(df, [column or value_column or x])[0]
-    rows = df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(MOST_LABELS).collect()
-    o = np.array([r["count"] for r in rows], float)
-    e = np.array([float(v) for v in expected.split(",")] if isinstance(expected, str) else expected, float) if expected is not None else np.ones(len(o))
-    if len(e) != len(o) or len(o) < 2 or (e <= 0).any():
+    counts = df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").cast("string").alias("v")).count()
+    values, n = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    e = np.array([float(v) for v in expected.split(",")] if isinstance(expected, str) else expected, float) if expected is not None else None
+    if values < 2 or (e is not None and (len(e) != values or (e <= 0).any())):
         raise AnalysisError("a positive expected value for each of two values and more")
-    e = e / e.sum() * o.sum()
-    stat = float(((o - e) ** 2 / e).sum())
-    return result("chi_square_gof", o.sum(), None, {"statistic": stat, "df": len(o) - 1, "p_value": D.chi2_sf(stat, len(o) - 1)}, effect={"cohens_w": math.sqrt(stat / o.sum())}, tables={"cells": [{"value": r.v, "observed": a, "expected": b, "residual": (a - b) / math.sqrt(b)} for r, a, b in zip(rows, o.tolist(), e.tolist(), strict=True)]})
+    # values with an expectation of their own are as many as the caller's list; equal ones need no list
+    rows, cut = shown(counts, F.desc("count"), "v", what=name, most=None if e is None else max(values, MOST_LABELS))
+    o = np.array([r["count"] for r in rows], float)
+    if e is None:
+        e = np.full(len(o), n / values)
+        stat = float(counts.agg(F.sum(F.pow(F.col("count") - n / values, F.lit(2.0)))).first()[0]) / (n / values)
+    else:
+        e = e / e.sum() * n
+        stat = float(((o - e) ** 2 / e).sum())
+    cells = [{"value": r.v, "observed": a, "expected": b, "residual": (a - b) / math.sqrt(b)} for r, a, b in zip(rows, o.tolist(), e.tolist(), strict=True)][:MOST_LABELS]
+    if len(cells) < len(rows):
+        cut = [f"the table of {name} leaves out {len(rows) - len(cells)} rows"]
+    return result("chi_square_gof", n, None, {"statistic": stat, "df": values - 1, "p_value": D.chi2_sf(stat, values - 1)}, effect={"cohens_w": math.sqrt(stat / n)}, warnings=cut, tables={"cells": cells})
 
 
 @analysis("mcnemar")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as D
 from ..functions.numeric import numbers
 from ..operators.columns import require
-from .association import MOST_LABELS, covariance
+from .association import covariance, shown
 from .basic import as_list
 from .result import AnalysisError, Result, analysis, result, too_few
 
@@ -65,23 +65,22 @@ def likert(df: DataFrame, items: Any, scale_min: float | None = None, scale_max:
     w = numbers(df, weight_column)[0] if weight_column else F.lit(1.0)
     wide = df.select(*numbers(df, *names), w.alias("_w"))
     long = wide.unpivot("_w", names, "item", "v").where("v IS NOT NULL AND _w > 0")
-    cells = long.groupBy("item", "v").agg(F.count("*").alias("n"), F.sum("_w").alias("w")).limit(MOST_LABELS).collect()
-    lo = scale_min if scale_min is not None else min((c.v for c in cells), default=0)
-    hi = scale_max if scale_max is not None else max((c.v for c in cells), default=0)
-    rows, freq = [], []
-    for name in names:
-        own = sorted((lo + hi - c.v if name in back else c.v, c.n, c.w) for c in cells if c.item == name)
-        n, total = sum(x[1] for x in own), sum(x[2] for x in own)
-        if not n:
-            continue
-        rows.append({"item": name, "n": n, "mean": sum(v * k for v, k, _ in own) / n, "weighted_mean": sum(v * k for v, _, k in own) / total, "top_box": 100 * sum(k for v, _, k in own if v >= hi) / total, "top_two": 100 * sum(k for v, _, k in own if v >= hi - 1) / total, "reversed": name in back})
-        freq += [{"item": name, "value": v, "n": k, "percentage": 100 * k / n, "weighted_percentage": 100 * x / total} for v, k, x in own]
+    ends = long.agg(F.min("v"), F.max("v")).first()
+    lo = scale_min if scale_min is not None else ends[0] or 0
+    hi = scale_max if scale_max is not None else ends[1] or 0
+    v = F.when(F.col("item").isin(list(back)), lo + hi - F.col("v")).otherwise(F.col("v"))
+    cells = long.groupBy("item", v.alias("v")).agg(F.count("*").alias("n"), F.sum("_w").alias("w"))
+    above = lambda least: F.sum(F.when(F.col("v") >= least, F.col("w")).otherwise(0.0))
+    sums = {r.item: r for r in cells.groupBy("item").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("v") * F.col("n")).alias("vn"), F.sum(F.col("v") * F.col("w")).alias("vw"), above(hi).alias("top"), above(hi - 1).alias("two")).collect()}
+    rows = [{"item": c, "n": r.n, "mean": r.vn / r.n, "weighted_mean": r.vw / r.w, "top_box": 100 * r.top / r.w, "top_two": 100 * r.two / r.w, "reversed": c in back} for c in names if (r := sums.get(c))]
+    table, cut = shown(cells, F.array_position(F.array(*map(F.lit, names)), F.col("item")), "v", what="frequencies")
+    freq = [{"item": r.item, "value": r.v, "n": r.n, "percentage": 100 * r.n / sums[r.item].n, "weighted_percentage": 100 * r.w / sums[r.item].w} for r in table]
     alpha = None
     if len(names) > 1:
         m, n = covariance(df, names)
         sign = np.array([-1.0 if c in back else 1.0 for c in names])
         alpha = alpha_of(m * np.outer(sign, sign)) if n > 2 else None
-    return result("likert_analysis", df.count(), {"alpha": alpha}, tables={"items": rows, "frequencies": freq})
+    return result("likert_analysis", df.count(), {"alpha": alpha}, warnings=cut, tables={"items": rows, "frequencies": freq})
 
 
 @analysis("fleiss_kappa")
@@ -94,15 +93,18 @@ def fleiss_kappa(df: DataFrame, columns: Any = None, raters: Any = None, **_: An
     n, agree = rows.agg(F.count("*"), F.coalesce(F.sum(pairs), F.lit(0))).first()
     if n < 2:
         return too_few("fleiss_kappa", n, 2)
-    labels = rows.select(F.explode(F.array(*rows.columns)).alias("v")).groupBy("v").count().limit(MOST_LABELS).collect()
-    p = np.array([r["count"] for r in labels]) / (n * k)
-    po, pe = agree / (n * k * (k - 1) / 2), float((p**2).sum())
+    share = F.col("count") / (n * k)
+    labels = rows.select(F.explode(F.array(*rows.columns)).alias("v")).groupBy("v").count().withColumn("p", share)
+    pe, cubes = labels.agg(F.sum(F.col("p") ** 2), F.sum(F.col("p") ** 3)).first()
+    po = agree / (n * k * (k - 1) / 2)
     if pe == 1:
         return result("fleiss_kappa", n, status="invalid", warnings=["only one label"])
-    kappa, q = (po - pe) / (1 - pe), 1 - p
-    var = 2 * ((p * q).sum() ** 2 - (p * q * (q - p)).sum()) / (n * k * (k - 1) * (p * q).sum() ** 2)
+    kappa, pq = (po - pe) / (1 - pe), 1 - pe
+    # the sum of p q (q - p), with q = 1 - p
+    var = 2 * (pq**2 - (1 - 3 * pe + 2 * cubes)) / (n * k * (k - 1) * pq**2)
+    table, cut = shown(labels, F.desc("count"), "v", what="labels")
     z = kappa / math.sqrt(var) if var > 0 else None
-    return result("fleiss_kappa", n, {"kappa": kappa, "agreement": po}, {"statistic": z, "p_value": 2 * D.normal_sf(abs(z)) if z is not None else None}, tables={"labels": [{"label": r.v, "share": x} for r, x in zip(labels, p.tolist(), strict=True)]})
+    return result("fleiss_kappa", n, {"kappa": kappa, "agreement": po}, {"statistic": z, "p_value": 2 * D.normal_sf(abs(z)) if z is not None else None}, warnings=cut, tables={"labels": [{"label": r.v, "share": r.p} for r in table]})
 
 
 @analysis("icc")

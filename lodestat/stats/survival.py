@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as D
 from ..functions.numeric import numbers, to_boolean
 from ..operators.columns import require
+from .association import shown
 from .result import AnalysisError, Result, analysis, result, too_few
 
 
@@ -72,14 +73,15 @@ def kaplan_meier(df: DataFrame, time_column: str | None = None, event_column: st
         times.unpersist()
         return too_few("kaplan_meier", n)
     z = D.normal_ppf(0.5 + confidence_level / 2)
-    rows = [r.asDict() for r in curve(times).orderBy("g", "t").limit(10_000).collect()]
+    table, cut = shown(curve(times), "g", "t", what="the curve")
+    rows = [r.asDict() for r in table]
     for r in rows:
         r |= {"ci_low": max(0.0, r["survival"] - z * r["se"]), "ci_high": min(1.0, r["survival"] + z * r["se"])}
     medians = {r.g: r.t for r in curve(times).where("survival <= 0.5").groupBy("g").agg(F.min("t").alias("t")).collect()}
     groups = [r.g for r in times.select("g").distinct().orderBy("g").limit(51).collect()]
     test = log_rank_test(times) if 2 <= len(groups) <= 50 else None
     times.unpersist()
-    return result("kaplan_meier", n, {"events": events, "median": {g: medians.get(g) for g in groups}}, test, tables={"curve": rows})
+    return result("kaplan_meier", n, {"events": events, "median": {g: medians.get(g) for g in groups}}, test, warnings=cut, tables={"curve": rows})
 
 
 @analysis("log_rank")
