@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import compile_expression
 from ..functions.numeric import dtype, to_boolean, to_number, to_timestamp
+from ..storage import written
 
 #: Row positions are a column: rows of a DataFrame have no order of their own.
 POS = "_pos"
@@ -35,10 +36,12 @@ def public(df: DataFrame) -> list[str]:
 def with_position(df: DataFrame) -> DataFrame:
     """Adds contiguous row positions from 0, in partition order.
 
-    One count per partition and no shuffle of rows; the offsets, one number a
-    partition, are the only thing that is broadcast.
+    Rows are written once with their partition and their number in it; what was
+    written is counted and numbered, so that no second run of a shuffle or a sort,
+    which may deal rows to other partitions, can lose or repeat a row.  The
+    offsets, one number a partition, are the only thing that is broadcast.
     """
-    marked = df.drop(POS).withColumn("_m", F.monotonically_increasing_id())
+    marked = written(df.drop(POS).withColumn("_m", F.monotonically_increasing_id()), "positions")
     part, row = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r.p, r.n) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     offsets, at = [], 0
