@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 REMEMBERED = 400_000
 #: Bits per key and level of the hash function; levels before the rest is stored outright.
 GAMMA, LEVELS = 2.0, 24
-#: Bytes of payload read at once.
-READ = 8 << 20
+#: Bytes of payload read at once, and ids of a shard that one task reads back.
+READ, PIECE = 8 << 20, 8_000_000
 
 #: White space as the tokenizer's pattern has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -167,13 +167,18 @@ class Index:
         self.table = take([("fp", "<u4"), ("n", "<u4"), ("first", "<i8")], n)
         self.offsets = take("<i8", n_off)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First record and number of records of each key, 0 records if its fingerprint is not the stored one."""
+    def find(self, keys: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First record and number of records of each key; 0 records if its fingerprint is not the stored one.
+
+        One unknown key in 2**32 has a fingerprint that is stored in its place,
+        so the key itself is compared with the shard's ``stored`` keys too.
+        """
         if not len(self.table):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         slot = self.hash.slot(keys)
         row = self.table[np.maximum(slot, 0)]
         hit = (slot >= 0) & (row["fp"] == fingerprint(keys))
+        hit &= stored[np.minimum(row["first"] - self.nulls, len(stored) - 1)] == keys
         return np.where(hit, row["first"], 0), np.where(hit, row["n"], 0).astype(np.int64)
 
 
@@ -237,26 +242,45 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) of every record, each key looked up through the index of its shard."""
+    """(doc_id, start, n_tokens, ids binary) of every record, each key looked up through the index of its shard.
+
+    A shard is read in pieces of about PIECE ids, each by a task of its own.
+    """
     manifest = spark.read.parquet(f"{folder}/manifest")
     # one row for each shard: the running total needs a single small task
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.select("shard", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("base"))
+    pieces = F.greatest(F.ceil(F.col("n_ids") / PIECE), F.lit(1)).cast("int")
+    shards = manifest.select("shard", pieces.alias("pieces"), F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("base"))
+    shards = shards.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    n = manifest.agg(F.coalesce(F.sum(pieces), F.lit(1))).first()[0]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _fs(folder)
         for pdf in batches:
-            for shard, base in zip(pdf["shard"], pdf["base"], strict=True):
-                index = Index(fs.open_input_file(_name(root, shard, "index")).read())
-                keys = np.unique(np.frombuffer(fs.open_input_file(_name(root, shard, "keys")).read(), "<i8"))
-                first, count = index.find(keys)
+            for shard, pieces, piece, base in zip(pdf["shard"], pdf["pieces"], pdf["piece"], pdf["base"], strict=True):
+                index, stored = _open(fs, root, shard)
+                keys = np.unique(stored)
+                keys = keys[len(keys) * piece // pieces : len(keys) * (piece + 1) // pieces]
+                first, count = index.find(keys, stored)
                 if (count == 0).any():
                     raise ValueError(f"shard {shard}: a stored key is not in the index")
-                record = np.concatenate([np.arange(index.nulls), np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]).astype(np.int64)
-                doc = pd.array([pd.NA] * index.nulls + np.repeat(keys, count).tolist(), "Int64")
+                nulls = index.nulls if piece == 0 else 0
+                record = np.concatenate([np.arange(nulls), _runs(first, count)]).astype(np.int64)
+                doc = pd.array([pd.NA] * nulls + np.repeat(keys, count).tolist(), "Int64")
                 yield from _records(fs, root, shard, index, record, doc, int(base))
 
-    return shards.repartition("shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    # a number given outright is kept by AQE, which sees only the few bytes of the manifest
+    return shards.repartitionByRange(int(n), "shard", "piece").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def _open(fs, root: str, shard: int) -> tuple[Index, np.ndarray]:
+    """Index and stored keys of a shard."""
+    return Index(fs.open_input_file(_name(root, shard, "index")).read()), np.frombuffer(fs.open_input_file(_name(root, shard, "keys")).read(), "<i8")
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run of ``count`` numbers."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def _records(fs, root, shard, index, record, doc, base) -> Iterator[pd.DataFrame]:
@@ -292,18 +316,18 @@ def lookup(keys: DataFrame, folder: str, most_shards: int = 1_000_000) -> DataFr
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "shard": bounds[np.maximum(at, 0), 1]})[at >= 0]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (fs, root), held, index = _fs(folder), None, None
+        (fs, root), held, index, stored = _fs(folder), None, None, None
         for pdf in batches:
             for shard, own in pdf.groupby("shard", sort=False):
                 if shard != held:
-                    held, index = shard, Index(fs.open_input_file(_name(root, shard, "index")).read())
+                    held, (index, stored) = shard, _open(fs, root, shard)
                 key = own["doc_id"].to_numpy(np.int64)
-                first, count = index.find(key)
-                record = (np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())).astype(np.int64)
+                first, count = index.find(key, stored)
+                record = _runs(first, count)
                 for out in _records(fs, root, shard, index, record, pd.array(np.repeat(key, count), "Int64"), 0):
                     yield out[["doc_id", "n_tokens", "ids"]]
 
     if not len(bounds):
         return spark.createDataFrame([], "doc_id long, n_tokens long, ids binary")
     routed = keys.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct().mapInPandas(route, "doc_id long, shard long")
-    return routed.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    return routed.repartition(len(bounds), "shard").sortWithinPartitions("shard", "doc_id").mapInPandas(run, "doc_id long, n_tokens long, ids binary")
