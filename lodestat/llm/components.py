@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "edges")
     while not _is_star(e):
-        e = written(_small_star(_large_star(e)), "star")
+        last, e = e, written(_small_star(_large_star(e)), "star")
+        remove(e.sparkSession, last)
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
