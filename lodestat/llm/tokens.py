@@ -42,15 +42,16 @@ class Encoder:
 
     Byte-level pre-tokenizing never joins text across the borders of pieces, so
     the ids of a text are those of its pieces; a text that holds the string of a
-    special token is encoded in one call.  Ids are little-endian unsigned
+    special token is encoded in one call (``plain``: as if it were none).  Ids are little-endian unsigned
     integers of ``width`` bytes, two if the vocabulary allows it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
