@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Any
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from ..functions.numeric import correlation, numbers
 from ..operators import cleaning, columns, combine, filters, grouping, ordering
 from ..operators.columns import POS
 from ..sources.tables import page_tables
-from ..sources.writers import flatten_analysis
 from ..stats import association, basic, run_analysis, survival
 from ..stats.design import centred, cross_products
 from ..streaming import windowed_counts
@@ -450,80 +447,3 @@ def _(spark, d):
 def _(spark, d):
     rows = run_analysis(t(spark, d, "lineitem"), "weighted_frequencies", columns="l_returnflag", weight_column="l_quantity")["tables"]["l_returnflag"]
     return spark.createDataFrame([(r["value"], round(float(r["weight"]), 2), r["count"]) for r in rows], "value string, weight double, count long")
-
-
-# Analyses in full: their fits and p-values are beyond SQL
-
-
-def _analysis(name: str, table: str, key: str | None = None, prepare=None, **parameters: Any) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        df = prepare(spark, d) if prepare else t(spark, d, table)
-        return flatten_analysis(spark, run_analysis(df, name, **parameters))
-
-    query(key or f"analysis_{name}")(run)
-
-
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_linenumber")
-
-
-def _ratings(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "labels").withColumn("third", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
-
-
-for _kind, _parameters in {
-    "descriptive": {"columns": ["l_quantity", "l_extendedprice"]},
-    "frequency": {"columns": "l_returnflag"},
-    "normality_tests": {"columns": ["l_quantity", "l_discount"]},
-    "welch_t_test": {"value_column": "l_quantity", "group_column": "l_linestatus"},
-    "mann_whitney": {"value_column": "l_quantity", "group_column": "l_linestatus"},
-    "one_way_anova": {"value_column": "l_quantity", "group_column": "l_returnflag"},
-    "kruskal_wallis": {"value_column": "l_quantity", "group_column": "l_returnflag"},
-    "two_way_anova": {"value_column": "l_quantity", "group_column": "l_linestatus", "second_group_column": "l_linenumber"},
-    "pearson": {"x": "l_quantity", "y": "l_extendedprice"},
-    "spearman": {"x": "l_quantity", "y": "l_extendedprice"},
-    "kendall": {"x": "l_quantity", "y": "l_discount"},
-    "point_biserial": {"x": "l_linenumber", "y": "l_quantity"},
-    "correlation_matrix": {"columns": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]},
-    "partial_correlation": {"x": "l_extendedprice", "y": "l_discount", "controls": ["l_quantity"]},
-    "chi_square": {"row_column": "l_returnflag", "column_column": "l_linestatus"},
-    "crosstab": {"row_column": "l_returnflag", "column_column": "l_linestatus"},
-    "chi_square_gof": {"column": "l_returnflag"},
-    "two_proportion_z_test": {"value_column": "half", "group_column": "l_linestatus"},
-    "one_sample_t_test": {"value_column": "l_quantity", "mu": 25},
-    "one_sample_z_test": {"value_column": "l_quantity", "mu": 25},
-    "paired_t_test": {"x": "l_discount", "y": "l_tax"},
-    "wilcoxon_signed_rank": {"x": "l_discount", "y": "l_tax"},
-    "linear_regression": {"target": "l_extendedprice", "features": ["l_quantity", "l_discount", "l_tax"]},
-    "linear_probability_model": {"target": "l_linestatus", "features": ["l_quantity", "l_discount"]},
-    "logistic_regression": {"target": "l_linestatus", "features": ["l_quantity", "l_discount"]},
-    "probit": {"target": "l_linestatus", "features": ["l_quantity", "l_discount"]},
-    "poisson_regression": {"target": "l_linenumber", "features": ["l_quantity", "l_discount"]},
-    "negative_binomial": {"target": "l_linenumber", "features": ["l_discount"]},
-    "zero_inflated": {"target": "zeros", "features": ["l_discount"]},
-    "hurdle": {"target": "zeros", "features": ["l_discount"]},
-    "tobit": {"target": "l_quantity", "features": ["l_discount"], "threshold": 5},
-    "ordinal_logit": {"target": "l_returnflag", "features": ["l_quantity"]},
-    "ridge_regression": {"target": "l_extendedprice", "features": ["l_quantity", "l_discount", "l_tax"]},
-    "ridge_lasso": {"target": "l_extendedprice", "features": ["l_quantity", "l_discount", "l_tax"]},
-    "quantile_regression": {"target": "l_extendedprice", "features": ["l_quantity"], "quantiles": [0.25, 0.5, 0.75]},
-    "logistic_regression_classification": {"target": "l_linestatus", "features": ["l_quantity", "l_discount"]},
-    "decision_tree": {"target": "l_linestatus", "features": ["l_quantity", "l_discount", "l_tax"]},
-    "random_forest": {"target": "l_linestatus", "features": ["l_quantity", "l_discount", "l_tax"], "n_trees": 10},
-    "random_forest_regression": {"target": "l_extendedprice", "features": ["l_quantity", "l_discount"], "n_trees": 10},
-    "kmeans": {"features": ["l_quantity", "l_discount"]},
-    "pca": {"features": ["l_quantity", "l_extendedprice", "l_discount"]},
-    "cronbach_alpha": {"items": ["l_quantity", "l_discount", "l_tax"]},
-    "mcdonalds_omega": {"items": ["l_quantity", "l_discount", "l_tax"]},
-    "likert_analysis": {"items": ["l_linenumber"], "scale_min": 1, "scale_max": 7},
-    "icc": {"columns": ["l_discount", "l_tax"]},
-    "weighted_frequencies": {"columns": "l_returnflag", "weight_column": "l_quantity"},
-}.items():
-    _prepare = {"two_proportion_z_test": lambda s, d: _lines(s, d).withColumn("half", (F.col("l_quantity") > 25).cast("string")), "point_biserial": lambda s, d: _lines(s, d).withColumn("l_linenumber", (F.col("l_linenumber") > 3).cast("int"))}.get(_kind, _lines)
-    if _kind in ("zero_inflated", "hurdle"):
-        _prepare = lambda s, d: _lines(s, d).withColumn("zeros", F.greatest(F.col("l_linenumber") - 3, F.lit(0)))
-    _analysis(_kind, "lineitem", prepare=_prepare, **_parameters)
-for _kind, _parameters in {"fisher_exact": {"row_column": "quality", "column_column": "toxic"}, "mcnemar": {"before_column": "quality", "after_column": "toxic"}, "cohens_kappa": {"row_column": "quality", "column_column": "toxic"}, "fleiss_kappa": {"columns": ["quality", "toxic", "third"]}}.items():
-    _analysis(_kind, "labels", prepare=_ratings, **_parameters)
-for _kind, _parameters in {"kaplan_meier": {"time_column": "t", "event_column": "d", "group_column": "g"}, "log_rank": {"time_column": "t", "event_column": "d", "group_column": "g"}}.items():
-    _analysis(_kind, "lineitem", prepare=_times, **_parameters)
