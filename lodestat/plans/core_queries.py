@@ -10,7 +10,7 @@ from ..operators import cleaning, columns, combine, filters, grouping, ordering
 from ..operators.columns import POS
 from ..sources.tables import page_tables
 from ..stats import association, basic, run_analysis, survival
-from ..stats.design import centred, cross_products
+from ..stats.design import centred_products
 from ..streaming import windowed_counts
 from . import charts, profile
 from .registry import query
@@ -404,7 +404,7 @@ def _(spark, d):
 
 @query("linear_regression_slope", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, count(*) AS n FROM lineitem")
 def _(spark, d):
-    n, mean, s = centred(cross_products(t(spark, d, "lineitem").select(*numbers(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")), ["l_quantity", "l_extendedprice"]))
+    n, mean, s = centred_products(t(spark, d, "lineitem").select(*numbers(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")), ["l_quantity", "l_extendedprice"])
     slope = s[0, 1] / s[0, 0]
     return spark.createDataFrame([(round(float(slope), 4), round(float(mean[1] - slope * mean[0]), 3), int(n))], "slope double, intercept double, n long")
 

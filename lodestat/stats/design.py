@@ -7,6 +7,7 @@ numbers whatever the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -47,6 +48,12 @@ def two_values(df: DataFrame, target: str, positive: Any = None) -> tuple[DataFr
     return df.where(label.isNotNull()).withColumn("_y", (label == str(positive)).cast("double")), str(positive)
 
 
+def shifted(rows: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """The columns less their means, and the means: sums of products of what is left do not cancel, however large the means."""
+    mean = np.array([v if v is not None else 0.0 for v in rows.agg(*[F.avg(f"`{n}`") for n in names]).first()])
+    return rows.select(*[(F.col(f"`{n}`") - float(m)).alias(n) for n, m in zip(names, mean.tolist(), strict=True)], *[F.col(f"`{c}`") for c in rows.columns if c not in names]), mean
+
+
 def cross_products(rows: DataFrame, names: list[str]) -> np.ndarray:
     """(1, names)' (1, names) over the rows, one aggregation."""
     k = len(names)
@@ -60,12 +67,19 @@ def cross_products(rows: DataFrame, names: list[str]) -> np.ndarray:
 
 
 def centred(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """n, means and centred cross products from those of ``cross_products``."""
+    """n, means and centred cross products from those of ``cross_products``, whose columns should be shifted ones."""
     n = m[0, 0]
-    mean = m[0, 1:] / n
+    mean = m[0, 1:] / n if n else m[0, 1:]
     return n, mean, m[1:, 1:] - n * np.outer(mean, mean)
 
 
+def centred_products(rows: DataFrame, names: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
+    """n, means and centred cross products of the columns: one pass for the means, one for the products."""
+    own, mean = shifted(rows, names)
+    n, rest, s = centred(cross_products(own, names))
+    return n, mean + rest, s
+
+
 def _derivatives(loglik: LogLik, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(log-likelihood, score, negative curvature, outer products of scores) of a block, by central differences."""
     k = len(theta)
@@ -82,23 +96,42 @@ def _derivatives(loglik: LogLik, theta: np.ndarray, x: np.ndarray, y: np.ndarray
     return np.concatenate([[base.sum()], score.sum(1), curve.ravel(), (score @ score.T).ravel()])
 
 
-def maximise(rows: DataFrame, y: str, names: list[str], loglik: LogLik, start: np.ndarray, rounds: int = 60, intercept: bool = True) -> dict:
-    """Damped Newton steps on the sum of ``loglik(theta, x, y)``, a number for each row; x has a leading 1 column."""
-    k = len(start)
+def maximise(rows: DataFrame, y: str, names: list[str], loglik: LogLik, start: np.ndarray, rounds: int = 60, intercept: bool = True, blocks: tuple[int, ...] = (0,)) -> dict:
+    """Damped Newton steps on the sum of ``loglik(theta, x, y)``, a number for each row; x has a leading 1 column.
+
+    Features (all names but the offset ``_off``) are standardised while the model is
+    fitted, and the parameters taken back: steps, curvature and the test of
+    convergence do not depend on the units of a column.  ``blocks`` are the places in theta where
+    an intercept and slopes begin; without ``intercept`` there are slopes alone, and the
+    parameter after them takes up the shift.
+    """
+    k, scaled = len(start), [n for n in names if n != "_off"]
+    got = rows.agg(*[f(f"`{n}`") for n in scaled for f in (F.avg, F.stddev_pop)]).first() if scaled else ()
+    mean = np.array([v or 0.0 for v in got[::2]])
+    sd = np.array([v if v and math.isfinite(v) and v > 1e-12 * (abs(m) + 1e-300) else 1.0 for m, v in zip(mean.tolist(), got[1::2], strict=True)])
+    back = np.eye(k)
+    for b in blocks:
+        at = np.arange(len(scaled)) + b + bool(intercept)
+        back[at, at] = 1 / sd
+        if intercept:
+            back[b, at] = -mean / sd
+        else:
+            back[b + len(scaled), at] = mean / sd
 
     def passed(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(1 + k + 2 * k * k)
             with np.errstate(all="ignore"):
                 for b in batches:
-                    x = np.column_stack([*([np.ones(len(b))] if intercept else []), b[names].to_numpy(float)])
+                    own = iter(((b[scaled].to_numpy(float) - mean) / sd).T)
+                    x = np.column_stack([*([np.ones(len(b))] if intercept else []), *[b[n].to_numpy(float) if n == "_off" else next(own) for n in names]])
                     total += _derivatives(loglik, theta, x, b[y].to_numpy(float))
             yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
         got = rows.select(*[f"`{c}`" for c in dict.fromkeys([y, *names])]).mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
         return got[0], got[1 : 1 + k], got[1 + k : 1 + k + k * k].reshape(k, k), got[1 + k + k * k :].reshape(k, k)
 
-    theta = np.asarray(start, float)
+    theta = np.linalg.solve(back, np.asarray(start, float))
     value, score, curve, outer = passed(theta)
     converged = False
     for _ in range(rounds):
@@ -130,4 +163,5 @@ def maximise(rows: DataFrame, y: str, names: list[str], loglik: LogLik, start: n
         cov = np.linalg.inv(curve)
     except np.linalg.LinAlgError:
         cov = np.full((k, k), np.nan)
-    return {"theta": theta, "loglik": float(value), "cov": cov, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "robust": cov @ outer @ cov, "converged": converged}
+    robust, cov = back @ cov @ outer @ cov @ back.T, back @ cov @ back.T
+    return {"theta": back @ theta, "loglik": float(value), "cov": cov, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "robust": robust, "converged": converged}

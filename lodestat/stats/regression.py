@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as D
 from ..operators.columns import POS, require
 from .basic import as_list, average_ranks, jarque_bera
-from .design import centred, complete, cross_products, features_of, maximise, two_values
+from .design import centred, centred_products, complete, features_of, maximise, shifted, two_values
 from .result import AnalysisError, Result, analysis, result, too_few
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -45,21 +45,26 @@ def table_of(names: list[str], theta: np.ndarray, se: np.ndarray, df: float | No
 
 
 def fit_ols(rows: DataFrame, target: str, names: list[str]) -> dict:
-    m = cross_products(rows, [*names, target])
-    n, mean, s = centred(m)
+    n, mean, s = centred_products(rows, [*names, target])
     k = len(names)
     if n <= k + 1:
         return {"n": int(n)}
+    scale = np.sqrt(np.maximum(np.diag(s)[:k], 1e-300))
     try:
-        slopes = np.linalg.solve(s[:k, :k], s[:k, k])
-        inner = np.linalg.inv(m[: k + 1, : k + 1])
+        # columns of unit length: units of measurement do not matter
+        inner = np.linalg.inv(s[:k, :k] / np.outer(scale, scale)) / np.outer(scale, scale)
     except np.linalg.LinAlgError as e:
         raise AnalysisError("predictors are collinear") from e
+    slopes = inner @ s[:k, k]
+    inverse = np.zeros((k + 1, k + 1))
+    inverse[1:, 1:] = inner
+    inverse[0, 1:] = inverse[1:, 0] = -inner @ mean[:k]
+    inverse[0, 0] = 1 / n + mean[:k] @ inner @ mean[:k]
     beta = np.concatenate([[mean[k] - slopes @ mean[:k]], slopes])
     total = s[k, k]
     rss = max(0.0, float(total - slopes @ s[:k, k]))
     rest = n - k - 1
-    return {"n": int(n), "beta": beta, "rss": rss, "total": float(total), "df": rest, "cov": inner * rss / rest, "inverse": inner}
+    return {"n": int(n), "beta": beta, "rss": rss, "total": float(total), "df": rest, "cov": inverse * rss / rest, "inverse": inverse}
 
 
 def fitted(rows: DataFrame, names: list[str], beta: np.ndarray, target: str) -> DataFrame:
@@ -268,7 +273,7 @@ def _two_part(kind: str, df: DataFrame, target: str, distribution: str, make, p:
     base = maximise(rows, target, columns, ll_poisson, _start_counts(rows, target, len(names)))
     share = max(0.05, min(0.95, zeros)) if kind == "hurdle" else max(0.05, min(0.9, zeros / 2))
     logit = math.log((1 - share) / share) if kind == "hurdle" else math.log(share / (1 - share))
-    fit = maximise(rows, target, columns, make(distribution, k), np.concatenate([base["theta"], [-0.5] * extra, [logit], np.zeros(k - 1)]))
+    fit = maximise(rows, target, columns, make(distribution, k), np.concatenate([base["theta"], [-0.5] * extra, [logit], np.zeros(k - 1)]), blocks=(0, k + extra))
     rows.unpersist()
     cut = k + extra
     terms = ["intercept", *names]
@@ -365,7 +370,7 @@ def ridge_regression(df: DataFrame, target: str, alpha: float = 1.0, test_size:
     rows = complete(df, [target, *names])
     rows = rows.withColumn("_u", F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns], F.lit(seed)), F.lit(1_000_000)) / 1_000_000)
     train, test = rows.where(F.col("_u") >= test_size), rows.where(F.col("_u") < test_size)
-    n, mean, s = centred(cross_products(train, [*names, target]))
+    n, mean, s = centred_products(train, [*names, target])
     k = len(names)
     if n < k + 2:
         return too_few("ridge_regression", int(n), k + 2)
@@ -406,8 +411,10 @@ def ridge_lasso(df: DataFrame, target: str, penalty: str = "lasso", l1_ratio: fl
     c = [F.lit(1.0), *[F.col(f"`{n}`") for n in columns]]
     at = [(i, j) for i in range(k + 2) for j in range(i, k + 2)]
     fold = F.pmod(F.xxhash64(*[f"`{x}`" for x in columns], F.lit(seed)), F.lit(folds))
+    # products of columns less their means; the intercept takes the means back at the end
+    rows, origin = shifted(rows.withColumn("_fold", fold), columns)
     parts = []
-    for r in rows.groupBy(fold.alias("fold")).agg(*[F.sum(c[i] * c[j]).alias(f"s{i}_{j}") for i, j in at]).collect():
+    for r in rows.groupBy("_fold").agg(*[F.sum(c[i] * c[j]).alias(f"s{i}_{j}") for i, j in at]).collect():
         m = np.zeros((k + 2, k + 2))
         for i, j in at:
             m[i, j] = m[j, i] = r[f"s{i}_{j}"]
@@ -441,6 +448,7 @@ def ridge_lasso(df: DataFrame, target: str, penalty: str = "lasso", l1_ratio: fl
             error[i] += w @ m @ w
     best = int(error.argmin())
     beta = path(whole, grid)[best]
+    beta[0] += origin[k] - beta[1:] @ origin[:k]
     return result("ridge_lasso", int(n), {"alpha": grid[best], "l1_ratio": ratio, "cv_mse": error[best] / n, "kept": int((np.abs(beta[1:]) > 1e-10).sum())}, tables={"coefficients": dict(zip(["intercept", *names], beta.tolist(), strict=True)), "path": [{"alpha": a, "cv_mse": e / n} for a, e in zip(grid, error.tolist(), strict=True)]})
 
 

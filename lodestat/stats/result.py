@@ -26,7 +26,7 @@ def analysis(*names: str) -> Callable:
 
 
 def plain(x: Any) -> Any:
-    """Values for JSON: numbers that are not finite become null, floats keep six places."""
+    """Values for JSON: numbers that are not finite become null, floats keep six places, small ones eight digits."""
     if isinstance(x, dict):
         return {str(k): plain(v) for k, v in x.items()}
     if isinstance(x, (list, tuple)):
@@ -34,11 +34,13 @@ def plain(x: Any) -> Any:
     if hasattr(x, "item"):
         x = x.item()
     if isinstance(x, float):
-        return round(x, 6) if math.isfinite(x) else None
+        return (round(x, 6) if abs(x) >= 0.01 else float(f"{x:.8g}")) if math.isfinite(x) else None
     return x
 
 
 def result(kind: str, n: int, estimate: Any = None, test: Any = None, interval: Any = None, effect: Any = None, diagnostics: Any = None, warnings: Sequence[str] = (), tables: Any = None, status: str = "ok", **meta: Any) -> Result:
+    if status == "ok" and (diagnostics or {}).get("converged") is False:
+        status = "not_converged"
     return plain({"analysis_type": kind, "status": status, "sample_size": int(n or 0), "estimate": estimate, "test": test, "confidence_interval": interval, "effect_size": effect, "diagnostics": diagnostics or {}, "warnings": list(warnings), "tables": tables or {}, "meta": meta})
 
 
