@@ -1,10 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Item-sized windows of a document are placed where a run of five-word shingles
-of an item begins (a window of similarity 0.8 shares shingles with its item,
-so no other window can pass).  Windows and items get SimHashes of their words;
-multi-index blocks bring together all that differ in at most RADIUS bits, and
-an exact weighted-shingle similarity decides.
+of an item begins: a window of similarity 0.8 shares shingles with its item, so
+no other window can pass, and most positions need no SimHash.  Windows, each text once, and items
+get SimHashes of their words.  Multi-index blocks bring together all of one size that
+differ in at most RADIUS bits: of BLOCKS = RADIUS + 2 blocks two at least agree, so
+keys are pairs of blocks.  An exact weighted-shingle similarity decides.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-#: Words of a shingle, least similarity, differing bits of SimHashes that are still compared.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 14
+#: Words of a shingle, least similarity, differing bits of SimHashes that are still compared, and blocks of their 64 bits.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
+BLOCKS = RADIUS + 2
 #: Rows (about 40 bytes each) up to which a table made from the benchmark is sent to all tasks; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
 _SPACE = " \t\n\u000b\f\r"
@@ -59,15 +61,22 @@ def _shingles(rows: DataFrame, key: str) -> DataFrame:
     return _positions(rows).select(key, _shingle(F.col("i")).alias("h")).groupBy(key, "h").agg(F.count("*").alias("n"))
 
 
-def _block_mask(k: int, n: int) -> int:
-    m = (1 << (64 * (k + 1) // n)) - (1 << (64 * k // n))
+def _block_mask(k: int) -> int:
+    return (1 << (64 * (k + 1) // BLOCKS)) - (1 << (64 * k // BLOCKS))
+
+
+def _signed(m: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+#: Bits of each pair of blocks, as signed numbers.
+PAIRS = [_signed(_block_mask(i) | _block_mask(j)) for i in range(BLOCKS) for j in range(i)]
+
+
 def _blocks(fps: DataFrame) -> DataFrame:
-    n = RADIUS + 1
-    block = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_block_mask(k, n))).alias("v")) for k in range(n)])
-    return fps.withColumn("x", F.explode(block)).select("*", "x.k", "x.v").drop("x")
+    """A row for each pair of blocks of (fp, w), with ``b``, a hash of the pair's number, its bits and the size w."""
+    masks = F.array(*[F.lit(m).cast("long") for m in PAIRS])
+    return fps.withColumn("b", F.explode(F.transform(masks, lambda m, i: F.xxhash64(i, F.col("w"), F.col("fp").bitwiseAND(m)))))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -91,15 +100,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     begins = F.col("before").isNull() | (F.col("i") == 0) | (F.when(F.col("i") > 0, _shingle(F.col("i") - 1)) != F.col("before"))
     n = F.size("words")
     start = F.greatest(F.least(F.col("i") - F.col("q"), n - F.col("w")), F.lit(0))
-    windows = hits.where(begins).select("doc_id", "dk", "words", start.alias("start"), F.least("w", n).alias("n_words"))
-    windows = windows.select("doc_id", "dk", "start", "n_words", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words"))
-    # the words follow from the key, any of them will do
-    windows = windows.groupBy("doc_id", "dk", "start", "n_words").agg(F.any_value("words").alias("words"))
-    windows = written(windows.withColumn("key", F.xxhash64("doc_id", "dk", "start", "n_words")), "windows")
-
-    item_fps = written(_blocks(_fingerprint(items, "key").select(F.col("key").alias("item"), F.col("fp").alias("item_fp"), "fp")).drop("fp"), "item_blocks")
-    blocks = _blocks(_fingerprint(windows, "key"))
-    pairs = blocks.join(_sent(item_fps), ["k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("key", "item").distinct()
+    placed = hits.where(begins).select("doc_id", "dk", "w", "words", start.alias("start"), F.least("w", n).alias("n_words"))
+    placed = placed.select("doc_id", "dk", "w", "start", "n_words", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words"))
+    # two hashes of a window's words stand for them: the same words are one window from here on
+    placed = written(placed.withColumn("key", F.xxhash64("w", "words")).withColumn("more", F.hash("words", F.lit(7))), "placed")
+    # the words follow from the hashes, any of them will do
+    windows = written(placed.groupBy("key", "more").agg(F.any_value("words").alias("words"), F.any_value("w").alias("w")).withColumn("key", F.xxhash64("key", "more")).select("key", "words", "w"), "windows")
+
+    sizes = items.select(F.col("key").alias("item"), "w")
+    item_fps = _fingerprint(items, "key").select(F.col("key").alias("item"), F.col("fp").alias("item_fp"), "fp").join(sizes, "item")
+    item_fps = written(_blocks(item_fps).select("b", "item", "item_fp"), "item_blocks")
+    blocks = _blocks(_fingerprint(windows, "key").join(windows.select("key", "w"), "key"))
+    pairs = blocks.join(_sent(item_fps), "b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("key", "item").distinct()
 
     weighed = F.coalesce("weight", F.lit(1.0)) * F.col("n")
     shingles = _shingles(windows, "key").join(_sent(weights), "h", "left")
@@ -110,8 +122,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     common = pairs.join(own.select("key", "h", "n"), "key").join(_sent(theirs), ["item", "h"]).groupBy("key", "item").agg(F.sum(F.col("weight") * F.least("n", "item_n")).alias("common"))
     similarity = F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))
     good = common.join(total, "key").join(_sent(item_total), "item").select("key", "item", similarity.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    good = written(good.join(_sent(items.select(F.col("key").alias("item"), "item_id")), "item").select("key", "item_id", "similarity"), "good")
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start")))
-    found = good.join(windows.select("key", "doc_id", "dk", "start", "n_words"), "key").join(_sent(items.select(F.col("key").alias("item"), "item_id")), "item")
+    # a passage that very many documents share is one row of good: where that is large, AQE splits the side of documents
+    found = placed.select(F.xxhash64("key", "more").alias("key"), "doc_id", "dk", "start", "n_words").join(_sent(good), "key")
     return found.groupBy("doc_id", "dk", "item_id").agg(best.alias("b")).select("doc_id", "dk", "item_id", "b.start", "b.n_words", "b.similarity")
 
 
