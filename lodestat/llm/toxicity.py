@@ -1,12 +1,14 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Three transducers are composed.  The lexicon maps a word to a symbol (insult,
-threat, target, negation, report, other) and a weight; insult weights are
-learned from labelled texts, for whole words and for their first letters, so
-that languages without a seed list are covered.  The scope transducer tracks
-negation and reported speech inside a clause and scales what they govern.  The
-pattern transducer accepts insult and threat clauses and multiplies the weight of
-those aimed at a target.  The score of a text is a logistic function of the weights of its matched
+The lexicon maps a word to a symbol (insult, threat, target, negation, report,
+other) and a weight; insult weights are learned from labelled texts, for whole
+words and for their first letters, so that languages without a seed list are
+covered.  Four weighted transducers read the symbols of a clause: negation and
+reported speech scale the insults and threats that they govern, the target
+transducer marks those that follow a target, the clause transducer accepts
+insult and threat clauses.  They are composed, pairs of states for states and
+products of weights for weights, into one machine that does a step a word.
+The score of a text is a logistic function of the weights of its matched
 clauses, not of isolated words.
 """
 
@@ -15,7 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,8 @@ SEED_WEIGHT, THREAT_WEIGHT = 2.0, 2.0
 #: Labelled rows that are used, a bound by hash.
 TRAIN_ROWS = 40_000
 #: Texts that must hold a learned entry, log-odds and log-likelihood ratio (doubled) it must reach among the very many
-#: entries tried, entries kept (largest evidence first), first letters tried.
-MIN_TEXTS, MIN_ODDS, MIN_RATIO, ENTRIES, STEMS = 3, 2.0, 18.0, 20_000, (4, 5, 6, 7)
+#: entries tried, first letters tried.
+MIN_TEXTS, MIN_ODDS, MIN_RATIO, STEMS = 3, 2.0, 18.0, (4, 5, 6, 7)
 #: Words after a negation or report that it governs; factors of the two and of a clause with a target.
 SCOPE, NEGATED, REPORTED, AIMED = 4, 0.3, 0.5, 1.5
 #: Words whose symbol a worker remembers.
@@ -73,47 +76,95 @@ class Lexicon:
         return got
 
 
-def scope(symbols: Iterable[tuple[str, float]]) -> Iterator[tuple[str, float]]:
-    """Second transducer: states are the words left under a negation and under a report; both scale insults and threats."""
-    negation = report = 0
-    for symbol, weight in symbols:
-        if symbol == "negation":
-            negation = SCOPE
-        elif symbol == "report":
-            report = SCOPE
-        else:
-            if weight:
-                weight *= (NEGATED if negation else 1.0) * (REPORTED if report else 1.0)
-            negation, report = max(0, negation - 1), max(0, report - 1)
-        yield symbol, weight
-
-
-#: Third transducer, arcs by state and symbol: the next state, and whether the arc adds the symbol's weight.
-#: A clause is accepted in ``insult``, ``aimed``; a threat counts only once a target stands before or after it.
-ARCS = {
-    ("start", "insult"): ("insult", True),
-    ("start", "target"): ("target", False),
-    ("start", "threat"): ("threat", True),
-    ("target", "insult"): ("aimed", True),
-    ("target", "threat"): ("aimed", True),
-    ("threat", "target"): ("aimed", False),
-    ("threat", "insult"): ("insult", True),
-    ("threat", "threat"): ("threat", True),
-    ("insult", "insult"): ("insult", True),
-    ("insult", "threat"): ("insult", True),
-    ("insult", "target"): ("aimed", False),
-    ("aimed", "insult"): ("aimed", True),
-    ("aimed", "threat"): ("aimed", True),
-}
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+#: An insult or threat that follows a target.
+AFTER = {"insult": "insult after target", "threat": "threat after target"}
+
+
+class Transducer(NamedTuple):
+    """Weighted and deterministic: (state, symbol) -> (state, symbol out, weight), and the weights of final states."""
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], tuple[Hashable, str, float]]
+    final: dict[Hashable, float]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """What ``b`` makes of the output of ``a``: states are pairs, weights multiply; states that cannot be reached are left out."""
+    leaving: dict = {}
+    for (state, symbol), arc in a.arcs.items():
+        leaving.setdefault(state, []).append((symbol, arc))
+    start = (a.start, b.start)
+    arcs, seen, todo = {}, {start}, [start]
+    while todo:
+        p, q = todo.pop()
+        for symbol, (p2, out, w) in leaving.get(p, ()):
+            if (q, out) in b.arcs:
+                q2, out2, v = b.arcs[q, out]
+                arcs[(p, q), symbol] = ((p2, q2), out2, w * v)
+                if (p2, q2) not in seen:
+                    seen.add((p2, q2))
+                    todo.append((p2, q2))
+    return Transducer(start, arcs, {(p, q): a.final[p] * b.final[q] for p, q in seen if p in a.final and q in b.final})
+
+
+def scope(mark: str, factor: float, symbols: Iterable[str] = SYMBOLS) -> Transducer:
+    """States are the words left under ``mark``; insults and threats among them weigh ``factor``."""
+    arcs = {}
+    for left in range(SCOPE + 1):
+        for x in symbols:
+            to = SCOPE if x == mark else left if x in ("negation", "report") else max(0, left - 1)
+            arcs[left, x] = (to, x, factor if left and x in ("insult", "threat") else 1.0)
+    return Transducer(0, arcs, {left: 1.0 for left in range(SCOPE + 1)})
+
+
+def targets() -> Transducer:
+    """Marks insults and threats that follow a target of the clause."""
+    arcs = {(seen, x): (seen or x == "target", AFTER.get(x, x) if seen else x, 1.0) for seen in (False, True) for x in SYMBOLS}
+    return Transducer(False, arcs, {False: 1.0, True: 1.0})
+
+
+def clauses() -> Transducer:
+    """Accepts clauses with an insult, those with a target weigh more; a threat counts only with a target before or after it."""
+    moves = {
+        ("start", "insult"): "insult",
+        ("start", "threat"): "threat",
+        ("start", AFTER["insult"]): "aimed",
+        ("start", AFTER["threat"]): "aimed",
+        ("threat", "insult"): "insult",
+        ("threat", "target"): "aimed",
+        ("insult", "target"): "aimed",
+    }
+    arcs = {}
+    for state in ("start", "insult", "threat", "aimed"):
+        for x in (*SYMBOLS, *AFTER.values()):
+            arcs[state, x] = (moves.get((state, x), state), x, 1.0 if x.split()[0] in AFTER else 0.0)
+    return Transducer("start", arcs, {"insult": 1.0, "aimed": AIMED, "start": 0.0, "threat": 0.0})
+
+
+def machine() -> tuple[list[dict[str, tuple[int, float]]], list[float]]:
+    """The composed grammar with numbered states: the arcs of each, and the weights of final states; state 0 is the start."""
+    t = compose(compose(compose(scope("negation", NEGATED), scope("report", REPORTED)), targets()), clauses())
+    number = {t.start: 0}
+    for (state, _), (to, _, _) in t.arcs.items():
+        number.setdefault(state, len(number))
+        number.setdefault(to, len(number))
+    arcs: list[dict[str, tuple[int, float]]] = [{} for _ in number]
+    for (state, symbol), (to, _, w) in t.arcs.items():
+        arcs[number[state]][symbol] = (number[to], w)
+    return arcs, [t.final.get(state, 0.0) for state in number]
+
+
+_ARCS, _FINAL = machine()
 
 
 def clause_weight(symbols: Iterable[tuple[str, float]]) -> float:
     """Weight of one clause under the composed grammar; 0 if it is not accepted."""
-    state, total = "start", 0.0
-    for symbol, weight in scope(symbols):
-        state, add = ARCS.get((state, symbol), (state, False))
-        total += weight if add else 0.0
-    return {"insult": total, "aimed": AIMED * total}.get(state, 0.0)
+    state, total = 0, 0.0
+    for symbol, weight in symbols:
+        state, w = _ARCS[state][symbol]
+        total += w * weight
+    return _FINAL[state] * total
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
@@ -167,7 +218,8 @@ def learn_lexicons(train: DataFrame) -> list[dict[str, float]]:
         ratio = 2 * (share(toxic, prior) + share(clean, 1 - prior))
         got = counts.select("entry", odds.alias("odds"), ratio.alias("ratio"), (toxic >= MIN_TEXTS).alias("often"))
         got = got.where(F.col("often") & (F.col("odds") >= MIN_ODDS) & (F.col("ratio") >= MIN_RATIO))
-        out.append({r.entry: float(r.odds) for r in got.orderBy(F.desc("ratio"), "entry").limit(ENTRIES).collect()})
+        # the labelled texts are bounded, and so are entries with this much evidence in them
+        out.append({r.entry: float(r.odds) for r in got.select("entry", "odds").collect()})
     return out
 
 
@@ -210,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[dict[str,
     part = part.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)).cast("int").alias("fold"))
     # at most about TRAIN_ROWS rows of 16 bytes
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(part), "doc_id").select("text", "toxic", "fold")
+    train = written(train, "train")  # used three times
     lexicons = learn_lexicons(train)
     got = train.mapInArrow(_features(sc.broadcast(lexicons[:2])), "a double, b double, c double, toxic int").toPandas()
     return lexicons[2], fit_logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float))
@@ -231,7 +284,7 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 5, columns: tuple[st
 
     Learns from labels whose crc32(doc_id as text) mod ``folds`` is not 0; of a
     doc_id labelled more than once the larger label counts, labels without doc_id, with other values or without
-    a document count nothing.  Null and empty texts score as texts without a
+    a document count nothing; equal clauses weigh equally, a text of any length is read whole.  Null and empty texts score as texts without a
     match.  Without labels of both kinds the seed words alone decide nothing: all
     scores are low and equal.  Rows that repeat are scored each; other columns never matter.
     """
