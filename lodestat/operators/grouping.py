@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dtype, to_number
@@ -41,8 +41,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """value, count, percentage of all rows; missing is a value."""
     require(df, [column])
     counts = df.groupBy(F.col(f"`{column}`").cast("string").alias("value")).count()
-    share = F.round(100 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))), 2)
-    return counts.withColumn("percentage", share)
+    return counts.withColumn("percentage", F.round(100 * F.col("count") / df.count(), 2))
 
 
 def crosstab(df: DataFrame, row: str, column: str, missing: str | None = "<missing>") -> DataFrame:

@@ -15,7 +15,8 @@ from ..functions.numeric import correlation, numbers
 from ..operators.columns import require
 from ..operators.grouping import crosstab as cells_of
 from ..operators.grouping import value_counts
-from .basic import as_list, average_ranks, moments, numeric_columns
+from ..storage import written
+from .basic import as_list, average_ranks, moments, numeric_columns, running_totals
 from .result import AnalysisError, Result, analysis, result, too_few
 
 #: Different labels of a table that goes to the driver.
@@ -70,17 +71,20 @@ def spearman(df: DataFrame, x: str | None = None, y: str | None = None, x_column
     return _correlation("spearman", spearman_pairs(df, x_column or x, y_column or y), confidence_level)
 
 
+#: Combinations of distinct values up to which Kendall's pairs are counted in one matrix.
+MATRIX = 4_000_000
+
+
 def kendall_counts(df: DataFrame, x: str, y: str) -> np.ndarray:
-    """(n, C - D, tied pairs of x, of y) of complete pairs, by bands of x.
+    """(n, C - D, tied pairs of x, of y) of complete pairs.
 
-    Rows are ranged by x into bands; inside a band a merge sort counts, across
-    bands only the totals of y by distinct value of each band meet.
+    Few combinations of values are one small matrix; else pairs are counted by
+    running totals over ranges, level by level of the ranks of x.
     """
-    p = pairs_of(df, x, y)
-    table = p.groupBy("x", "y").agg(F.count("*").alias("c"))
+    table = pairs_of(df, x, y).groupBy("x", "y").agg(F.count("*").alias("c"))
     levels = table.agg(F.countDistinct("x").alias("a"), F.countDistinct("y").alias("b")).first()
-    if levels.a * levels.b > 25_000_000:
-        raise AnalysisError("Kendall's tau takes up to 25 million combinations of distinct values; rank or bin the columns")
+    if levels.a * levels.b > MATRIX:
+        return _kendall_levels(written(table, "cells"), levels.a)
     got = table.toPandas()
     xs, i = np.unique(got["x"], return_inverse=True)
     ys, j = np.unique(got["y"], return_inverse=True)
@@ -94,6 +98,32 @@ def kendall_counts(df: DataFrame, x: str, y: str) -> np.ndarray:
     return np.array([n, (m * below).sum() - (m * above).sum(), (tx * (tx - 1)).sum() / 2, (ty * (ty - 1)).sum() / 2])
 
 
+def _kendall_levels(cells: DataFrame, distinct: int) -> np.ndarray:
+    """Two ranks of x differ first in one of their digits of base 16: there, and only there, the pair is counted.
+
+    Rows of one block share all higher digits; in the order of y, running
+    totals of each digit tell how many rows of a smaller digit lie below and above.
+    """
+    ranks = running_totals(cells.select("x").distinct().withColumn("one", F.lit(1)), "x", ["one"]).select("x", (F.col("one_upto") - 1).alias("rank"))
+    ranked = written(cells.join(ranks, "x").select("rank", "y", F.col("c").cast("double").alias("c")), "ranked")
+    names = [f"n{d}" for d in range(16)]
+    score = 0.0
+    for level in range(max(1, -(-(distinct - 1).bit_length() // 4))):
+        digit = F.shiftright("rank", 4 * level).bitwiseAND(F.lit(15))
+        wide = ranked.groupBy(F.shiftright("rank", 4 * level + 4).alias("block"), "y").agg(*[F.sum(F.when(digit == d, F.col("c")).otherwise(0.0)).alias(n) for d, n in enumerate(names)])
+        run = running_totals(wide, "y", names, group="block")
+        whole = wide.groupBy("block").agg(*[F.sum(n).alias(f"{n}_all") for n in names])
+        # below less above: twice the total up to here, less this row, less all
+        lead = [2 * F.col(f"{n}_upto") - F.col(n) - F.col(f"{n}_all") for n in names]
+        parts, before = [], F.lit(0.0)
+        for d in range(1, 16):
+            before = before + lead[d - 1]
+            parts.append(F.col(names[d]) * before)
+        score += run.join(whole, "block").agg(F.sum(sum(parts[1:], parts[0]))).first()[0] or 0.0
+    tied = [cells.groupBy(k).agg(F.sum("c").cast("double").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1)) / 2).first()[0] for k in ("x", "y")]
+    return np.array([cells.agg(F.sum("c")).first()[0], score, *tied], float)
+
+
 @analysis("kendall")
 def kendall(df: DataFrame, x: str | None = None, y: str | None = None, x_column: str | None = None, y_column: str | None = None, **_: Any) -> Result:
     n, s, tx, ty = kendall_counts(df, x_column or x, y_column or y)
@@ -127,7 +157,7 @@ def correlation_matrix(df: DataFrame, columns: Any = None, method: str = "pearso
     matrix = {a: {a: 1.0} for a in names}
     for t in table:
         matrix[t["x"]][t["y"]] = matrix[t["y"]][t["x"]] = t["r"]
-    return result("correlation_matrix", max((t["n"] for t in table), default=0), {"strongest": table[0]}, tables={"pairs": table, "matrix": matrix, "descriptives": [r.asDict() for r in moments(df, names).collect()]}, method=method)
+    return result("correlation_matrix", max((t["n"] for t in table), default=0), {"strongest": table[0]}, tables={"pairs": table, "matrix": matrix, "descriptives": [{k: v for k, v in r.asDict().items() if k not in ("q1", "median", "q3")} for r in moments(df, names, quantiles=False).collect()]}, method=method)
 
 
 @analysis("partial_correlation")

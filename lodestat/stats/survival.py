@@ -5,13 +5,15 @@ from __future__ import annotations
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions.numeric import numbers, to_boolean
 from ..operators.columns import require
+from ..storage import written
 from .association import shown
+from .basic import running_totals
 from .result import AnalysisError, Result, analysis, result, too_few
 
 
@@ -27,15 +29,12 @@ def times_of(df: DataFrame, time: str, event: str, group: str | None = None, eve
 
 def curve(times: DataFrame) -> DataFrame:
     """(g, t, at_risk, d, survival, se): all that are still there at t are at risk, censored ones too; Greenwood's error up to t."""
-    later = Window.partitionBy("g").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    risk = times.withColumn("at_risk", F.sum("n").over(later))
+    risk = running_totals(times, "t", ["n"], group="g", descending=True).withColumnRenamed("n_upto", "at_risk")
     left = F.col("at_risk") - F.col("d")
-    logs = risk.withColumn("_l", F.when(left > 0, F.log(left / F.col("at_risk")))).withColumn("_v", F.when(left > 0, F.col("d") / (F.col("at_risk") * left)))
-    gone = F.max((left == 0).cast("int")).over(upto)
-    s = F.when(gone == 1, 0.0).otherwise(F.exp(F.sum("_l").over(upto)))
-    out = logs.withColumn("survival", s).withColumn("se", F.col("survival") * F.sqrt(F.coalesce(F.sum("_v").over(upto), F.lit(0.0))))
-    return out.where("d > 0").select("g", "t", "at_risk", "d", "survival", "se")
+    logs = risk.select("g", "t", "d", "at_risk", F.when(left > 0, F.log(left / F.col("at_risk"))).otherwise(0.0).alias("_l"), F.when(left > 0, F.col("d") / (F.col("at_risk") * left)).otherwise(0.0).alias("_v"), (left == 0).cast("int").alias("_e"))
+    out = running_totals(logs, "t", ["_l", "_v", "_e"], group="g")
+    s = F.when(F.col("_e_upto") > 0, 0.0).otherwise(F.exp("_l_upto"))
+    return out.where("d > 0").select("g", "t", "at_risk", "d", s.alias("survival"), (s * F.sqrt("_v_upto")).alias("se"))
 
 
 def log_rank_parts(times: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -44,9 +43,8 @@ def log_rank_parts(times: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray,
     if not 2 <= len(groups) <= 50:
         raise AnalysisError("log-rank compares 2 to 50 groups")
     wide = times.groupBy("t").agg(*[F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k, g in enumerate(groups) for c in "dn"])
-    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    # one row for each distinct time, pre-aggregated over all rows
-    risk = wide.select("t", *[F.sum(f"n{k}").over(later).alias(f"n{k}") for k in range(len(groups))], *[f"d{k}" for k in range(len(groups))])
+    risk = running_totals(wide, "t", [f"n{k}" for k in range(len(groups))], descending=True)
+    risk = risk.select("t", *[F.col(f"n{k}_upto").alias(f"n{k}") for k in range(len(groups))], *[f"d{k}" for k in range(len(groups))])
     d = sum((F.col(f"d{k}") for k in range(1, len(groups))), F.col("d0"))
     n = sum((F.col(f"n{k}") for k in range(1, len(groups))), F.col("n0"))
     risk = risk.withColumn("d", d).withColumn("n", n).where("d > 0")
@@ -73,11 +71,12 @@ def kaplan_meier(df: DataFrame, time_column: str | None = None, event_column: st
         times.unpersist()
         return too_few("kaplan_meier", n)
     z = D.normal_ppf(0.5 + confidence_level / 2)
-    table, cut = shown(curve(times), "g", "t", what="the curve")
+    drawn = written(curve(times), "curve")
+    table, cut = shown(drawn, "g", "t", what="the curve")
     rows = [r.asDict() for r in table]
     for r in rows:
         r |= {"ci_low": max(0.0, r["survival"] - z * r["se"]), "ci_high": min(1.0, r["survival"] + z * r["se"])}
-    medians = {r.g: r.t for r in curve(times).where("survival <= 0.5").groupBy("g").agg(F.min("t").alias("t")).collect()}
+    medians = {r.g: r.t for r in drawn.where("survival <= 0.5").groupBy("g").agg(F.min("t").alias("t")).collect()}
     groups = [r.g for r in times.select("g").distinct().orderBy("g").limit(51).collect()]
     test = log_rank_test(times) if 2 <= len(groups) <= 50 else None
     times.unpersist()
