@@ -27,9 +27,10 @@ def top_values(df: DataFrame, column: str, k: int = 8) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n rows with the least hashes of their positions (or of the whole row): the same rows at any partitioning."""
+    """n rows with the least hashes (MD5 of their positions, or of the whole row, and the seed): the same rows at any partitioning."""
     key = [POS] if POS in df.columns else [f"`{c}`" for c in df.columns]
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed)))
+    return df.orderBy(F.md5(text), *key).limit(n)
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:

@@ -241,9 +241,9 @@ def _(spark, d):
     return ordering.page(t(spark, d, "orders").select("o_orderkey", "o_custkey").withColumn(POS, F.col("o_orderkey")), 3, 50).drop(POS)
 
 
-@query("sample")
+@query("sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(concat_ws('|', o_orderkey, o_custkey, '42')), 1, 2 LIMIT 100")
 def _(spark, d):
-    return ordering.sample(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100)
+    return ordering.sample(t(spark, d, "orders").select("o_orderkey", "o_custkey"), 100)
 
 
 # Exploration and charts
@@ -288,14 +288,19 @@ def _(spark, d):
     return rounded(charts.build(t(spark, d, "lineitem"), "heatmap", x="l_returnflag", group_by="l_linestatus", y="l_quantity")["all"], 2)
 
 
-@query("chart_scatter")
+@query("chart_scatter", "SELECT l_quantity, l_extendedprice FROM lineitem ORDER BY md5(concat_ws('|', l_quantity, l_extendedprice, '42')), 1, 2 LIMIT 500")
 def _(spark, d):
     return charts.build(t(spark, d, "lineitem"), "scatter", x="l_quantity", y="l_extendedprice", limit=500)["all"]
 
 
-@query("page_tables")
+@query("page_tables", """SELECT n_regionkey AS page_id, 0 AS "table", (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS "row", ['Key', 'Name & place'] AS names, [n_nationkey::VARCHAR, n_name] AS cells FROM nation""")
 def _(spark, d):
-    return page_tables(t(spark, d, "pages"))
+    """A page for each region, with a table of its nations."""
+    row = F.format_string("<tr><td>%s</td><td><b>%s</b></td></tr>", F.col("n_nationkey").cast("string"), "n_name")
+    rows = F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row"))))
+    pages = t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("page_id")).agg(F.array_join(F.transform(rows, lambda r: r.row), "").alias("rows"))
+    html = F.concat(F.lit("<html><body><p>Nations</p><table><tr><th>Key</th><th>Name &amp; place</th></tr>"), "rows", F.lit("</table></body></html>"))
+    return page_tables(pages.select("page_id", html.alias("html")))
 
 
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS end, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
