@@ -40,6 +40,19 @@ def merge(left: DataFrame, right: DataFrame, how: str = "inner", on: Sequence[st
     return joined.select(*out)
 
 
+def merge_report(left: DataFrame, right: DataFrame, merged: DataFrame, how: str = "inner") -> dict:
+    """Rows of both sides and of a merge, with warnings where the keys probably do not fit: no rows, rows lost, rows multiplied."""
+    a, b, n = left.count(), right.count(), merged.count()
+    warnings = []
+    if not n:
+        warnings.append("no rows: the keys of both sides share no value; compare their spelling and their types")
+    elif how == "inner" and n < min(a, b):
+        warnings.append(f"rows lost: {n} of {a} are left; a left join shows which keys have no partner")
+    elif n > max(a, b):
+        warnings.append(f"rows multiplied: {n} from {a} and {b}; some keys repeat on both sides")
+    return {"how": how, "rows_left": a, "rows_right": b, "rows": n, "warnings": warnings}
+
+
 def append(left: DataFrame, right: DataFrame) -> DataFrame:
     """All rows of both, columns by name; a column missing on one side is null there, types that differ become text.
 

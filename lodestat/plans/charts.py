@@ -112,3 +112,11 @@ def build(df: DataFrame, chart_type: str, x: str | None = None, y: str | None =
         return {"all": panel(df)}
     labels = [r.v for r in df.groupBy(_label(facet).alias("v")).count().orderBy(F.desc("count"), "v").limit(FACETS).collect()]
     return {v: panel(df.where(_label(facet) == v)) for v in labels}
+
+
+def wide(panel: DataFrame) -> DataFrame:
+    """Chart data of x, series and value as a table: x and a column for each series, of which a chart has few."""
+    if not {"x", "series", "value"} <= set(panel.columns):
+        return panel
+    names = [r.series for r in panel.select("series").distinct().orderBy("series").limit(CATEGORIES).collect()]
+    return panel.groupBy("x").pivot("series", names).agg(F.first("value")).orderBy("x")

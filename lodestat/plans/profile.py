@@ -12,7 +12,7 @@ from ..functions.numeric import correlation, dtype, is_numeric_type, numbers, to
 from ..operators.columns import POS, public, with_position
 from ..operators.ordering import top_values
 from ..stats.association import pairwise_correlations, spearman_pairs
-from ..stats.basic import moments, numeric_columns
+from ..stats.basic import jarque_bera, moments, numeric_columns
 
 #: Share of missing values from which a column is mostly missing, of numbers from which text is numeric; values looked at for it.
 MOSTLY, NUMERIC_TEXT, LOOKED_AT = 0.5, 0.95, 200
@@ -107,6 +107,48 @@ FIXES = {"duplicate_column_names": "rename", "blank_column_names": "rename", "co
 DEFAULT = ("duplicate_column_names", "blank_column_names", "column_all_missing", "numeric_stored_as_text", "duplicate_rows")
 
 
+LABELS = {"rename": "give each column a name of its own", "drop": "drop the column", "cast": "read the text as numbers", "dedupe": "drop repeated rows"}
+
+
+def remedies(report: dict[str, Any]) -> list[dict[str, Any]]:
+    """The findings of a report that have a remedy: code, column, fix, label, and whether it is applied without being asked for."""
+    return [{"code": f["code"], "column": f["column"], "fix": FIXES[f["code"]], "label": LABELS[FIXES[f["code"]]], "default": f["code"] in DEFAULT} for f in report["findings"] if f["code"] in FIXES]
+
+
+def column_warnings(rows: dict[str, dict[str, Any]]) -> list[str]:
+    """What stands in the way of an analysis, from the rows of ``profile_columns``."""
+    out = [f"{c} has no value in {r['missing'] / r['n']:.0%} of the rows" for c, r in rows.items() if r["n"] and r["missing"] >= MOSTLY * r["n"]]
+    if rows and not any(r["kind"] == "numeric" for r in rows.values()):
+        out.append("no numeric column: means, correlations and regressions need one")
+    if single := [c for c, r in rows.items() if r["n"] and r["distinct"] == 1]:
+        out.append(f"only one value: {', '.join(single)}")
+    return out
+
+
+def dataset_profile(df: DataFrame) -> dict[str, Any]:
+    """Variables by kind with their shape, and what holds for the whole table: complete and repeated rows, missing cells."""
+    rows, numeric = {r.column: r.asDict() for r in profile_columns(df).collect()}, numeric_columns(df)
+    n = next((r["n"] for r in rows.values()), 0)
+    stats = {r.column: r.asDict() for r in moments(df, numeric).collect()} if numeric and n else {}
+    fences = {c: (s["q1"] - 1.5 * (s["q3"] - s["q1"]), s["q3"] + 1.5 * (s["q3"] - s["q1"])) for c, s in stats.items() if s["n"]}
+    outside = df.agg(*[F.count_if((v < fences[c][0]) | (v > fences[c][1])).alias(c) for c, v in zip(numeric, numbers(df, *numeric), strict=True) if c in fences]).first() if fences else None
+    for c, r in rows.items():
+        if c in fences:
+            s = stats[c]
+            r |= {k: s[k] for k in ("sd", "skewness", "kurtosis", "median")} | {"normality": jarque_bera(s["n"], s["skewness"], s["kurtosis"]), "outliers": outside[c]}
+        else:
+            top = top_values(df.where(F.col(f"`{c}`").isNotNull()), c, 10).collect()
+            r |= {"levels": [t.value for t in top], "top_percentage": 100 * top[0]["count"] / (r["n"] - r["missing"]) if top else None}
+        r["binary"] = r["distinct"] == 2
+    complete = df.select(*[f"`{c}`" for c in public(df)]).dropna().count() if n else 0
+    kinds: dict[str, list[str]] = {}
+    for c, r in rows.items():
+        kinds.setdefault(r["kind"], []).append(c)
+    missing = sum(r["missing"] for r in rows.values())
+    warnings = column_warnings(rows) + ([f"only {n} rows"] if n < 30 else [])
+    return {"rows": n, "columns": rows, "kinds": kinds, "complete_rows": complete, "duplicate_rows": duplicate_rows(df) if n else 0, "missing_percent": 100 * missing / max(1, n * len(rows)), "warnings": warnings}
+
+
 def remediate(df: DataFrame, report: dict[str, Any], fixes: list[str] | None = None) -> tuple[DataFrame, list[dict], list[dict]]:
     """(rows, applied, skipped): names are already unique here, so drops, casts and deduplication remain to be composed."""
     from ..operators import cleaning
@@ -166,4 +208,4 @@ def explore(df: DataFrame) -> dict[str, Any]:
         if name in stats:
             r |= {"statistics": stats[name], "histogram": [tuple(b) for b in histogram(df, name).orderBy("bin").collect()]}
         r["top"] = [(t.value, t["count"]) for t in top_values(df, name, 8).collect()]
-    return {"columns": rows, "correlations": find_correlations(df, numeric), "validation": validate(df)}
+    return {"columns": rows, "correlations": find_correlations(df, numeric), "validation": validate(df), "warnings": column_warnings(rows)}

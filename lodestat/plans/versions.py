@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, columns, combine, filters, grouping, ordering
 from ..operators.columns import POS, OperationError, public, with_position
+from ..storage import remove
 
 LOG = "version int, parent int, operation string, configuration string, rows long, columns int"
 #: One-input operations by name; merge and append take a second version.
@@ -36,6 +37,7 @@ class Dataset:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.warnings: list[str] = []  # of the operation run last
 
     def _path(self, version: int) -> str:
         return f"{self.folder}/versions/v{version}"
@@ -44,10 +46,12 @@ class Dataset:
         return self.spark.read.schema(LOG).json(f"{self.folder}/log")
 
     def _write(self, df: DataFrame, version: int, parent: int | None, operation: str, config: Mapping[str, Any]) -> int:
-        df.write.parquet(self._path(version))
+        """A version counts once the log names it: what a refused or interrupted run left under its number is overwritten."""
+        df.write.mode("overwrite").parquet(self._path(version))
         saved = self.read(version)
         n = saved.count()
         if not n or not public(saved):
+            remove(self.spark, saved)
             raise OperationError("the result holds no rows or no columns")
         row = [(version, parent, operation, json.dumps(config, sort_keys=True, default=str), n, len(public(saved)))]
         self.spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").json(f"{self.folder}/log")
@@ -65,11 +69,13 @@ class Dataset:
         source = max(rows) if source is None else source
         if source not in rows:
             raise OperationError(f"no version {source}")
-        df = self.read(source)
+        df, self.warnings = self.read(source), []
         if operation in OPERATIONS:
             out = OPERATIONS[operation](df, **config)
         elif operation in SECOND and other is not None:
             out = SECOND[operation](df, other, **config)
+            if operation == "merge":
+                self.warnings = combine.merge_report(df, other, out, config.get("how", "inner"))["warnings"]
         else:
             raise OperationError(f"operations are {', '.join([*OPERATIONS, *SECOND])}; the last two take another table")
         # a new order or new rows get new positions, a range-partitioned sort keeps its order

@@ -370,3 +370,103 @@ def test_queries_match_their_sql(spark, tmp_path, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(str(tuple(r[c] for c in names)) for r in got.collect()) == sorted(map(str, found.fetchall()))
+
+
+# Round trips after a shuffle, fits of awkward scale, reports
+
+
+def test_no_row_is_lost_after_a_shuffle(spark, tmp_path):
+    from lodestat.operators.columns import POS, with_position
+    from lodestat.plans.versions import Dataset
+
+    n = 200_000
+    df = spark.range(n).select(F.hash("id").alias("k"), F.pmod("id", F.lit(1000)).alias("g"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("w"))
+    got = with_position(df.orderBy("k")).agg(F.count("*"), F.countDistinct(POS), F.max(POS)).first()
+    assert tuple(got) == (n, n, n - 1)
+    data = Dataset(spark, str(tmp_path / "d"))
+    data.create(df)
+    for operation, config, rows in (("sort", {"by": ["k"]}, n), ("filter", {"conditions": [{"column": "g", "operator": "lt", "value": 500}]}, n // 2), ("drop_duplicates", {"subset": ["g"]}, 500)):
+        v = data.apply(operation, **config)
+        got = data.read(v).agg(F.count("*"), F.countDistinct(POS), F.max(POS)).first()
+        assert tuple(got) == (rows, rows, rows - 1), operation
+
+
+def test_an_empty_result_leaves_no_version(spark, tmp_path):
+    from lodestat.operators.columns import OperationError
+    from lodestat.plans.versions import Dataset
+
+    data = Dataset(spark, str(tmp_path / "d"))
+    data.create(spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string"))
+    for _ in range(2):
+        with pytest.raises(OperationError):
+            data.apply("filter", conditions=[{"column": "x", "operator": "gt", "value": 9}])
+    assert data.apply("filter", conditions=[{"column": "x", "operator": "gt", "value": 1}]) == 2
+    right = spark.createDataFrame([(7, "c")], "x int, z string")
+    data.apply("merge", other=right, on=["x"], how="left")
+    assert data.warnings == []
+
+
+def test_merge_report(spark):
+    from lodestat.operators.combine import merge, merge_report
+
+    a = spark.createDataFrame([(k,) for k in (1, 1, 2, 3)], "k int")
+    for keys, word in (((9,), "no rows"), ((2, 5), "rows lost"), ((1, 1, 2), "rows multiplied")):
+        b = spark.createDataFrame([(k, "x") for k in keys], "k int, v string")
+        report = merge_report(a, b, merge(a, b, on=["k"]))
+        assert report["warnings"] == [w for w in report["warnings"] if w.startswith(word)] and len(report["warnings"]) == 1
+    b = spark.createDataFrame([(k, "x") for k in (1, 2, 3)], "k int, v string")
+    assert merge_report(a, b, merge(a, b, on=["k"]))["warnings"] == []
+
+
+def test_fits_do_not_depend_on_scale(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-z))).astype(int)
+    fits = []
+    for scale, shift in ((1.0, 0.0), (20_000.0, 50_000.0), (1e-3, 10.0)):
+        df = spark.createDataFrame(pd.DataFrame({"x": z * scale + shift, "y": y, "w": 2 * (z * scale + shift) + rng.normal(size=3000) * scale}))
+        r = run_analysis(df, "logistic_regression", target="y", features=["x"])
+        assert r["status"] == "ok"
+        fits.append((r["tables"]["coefficients"][1]["coefficient"] * scale, r["tables"]["coefficients"][1]["standard_error"] * scale, r["estimate"]["log_likelihood"]))
+        slope = run_analysis(df, "linear_regression", target="w", features=["x"])["tables"]["coefficients"][1]
+        assert abs(slope["coefficient"] - 2) < 5 * slope["standard_error"] < 0.2
+    for f in fits[1:]:
+        assert f == pytest.approx(fits[0], rel=1e-3)
+    far = spark.createDataFrame(pd.DataFrame({"x": 1.7e9 + z, "y": 2 * (1.7e9 + z) + rng.normal(size=3000)}))
+    assert run_analysis(far, "linear_regression", target="y", features=["x"])["tables"]["coefficients"][1]["coefficient"] == pytest.approx(2, abs=0.1)
+
+
+def test_kendall_of_many_values_is_exact(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from lodestat.stats import association
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 40, 300)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": x + rng.integers(0, 30, 300)}))
+    want = association.kendall_counts(df, "x", "y")
+    monkeypatch.setattr(association, "MATRIX", 0)
+    assert association.kendall_counts(df, "x", "y").tolist() == want.tolist()
+
+
+def test_running_totals_over_ranges(spark):
+    from lodestat.stats.basic import running_totals
+
+    rows = [(g, t, t % 3) for g in "ab" for t in range(200)]
+    got = {(r.g, r.t): r.n_upto for r in running_totals(spark.createDataFrame(rows, "g string, t int, n long"), "t", ["n"], group="g", descending=True).collect()}
+    assert got == {(g, t): sum(k % 3 for k in range(t, 200)) for g in "ab" for t in range(200)}
+
+
+def test_remedies_profiles_and_wide_charts(spark):
+    from lodestat.plans import charts, profile
+
+    df = spark.createDataFrame([(k, "7", None, float(k % 5)) for k in range(40)], "id int, text string, blank string, v double")
+    found = {f["code"] for f in profile.remedies(profile.validate(df))}
+    assert {"column_all_missing", "constant_column", "numeric_stored_as_text"} <= found and "likely_identifier" not in found
+    p = profile.dataset_profile(df)
+    assert p["rows"] == 40 and p["complete_rows"] == 0 and p["columns"]["v"]["outliers"] == 0 and any("blank" in w for w in p["warnings"])
+    panel = spark.createDataFrame([("a", "p", 1.0), ("a", "q", 2.0), ("b", "p", 3.0)], "x string, series string, value double")
+    assert [tuple(r) for r in charts.wide(panel).collect()] == [("a", 1.0, 2.0), ("b", 3.0, None)]
