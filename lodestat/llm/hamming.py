@@ -24,8 +24,8 @@ GROUP = 4096
 BUCKET = 40_000
 #: Rows of a bucket that is searched by one index: the nodes a query visits grow with it.
 INDEXED = 4_000
-#: Children of a node of the index, and queries searched together.
-FANOUT, QUERIES = 8, 2048
+#: Children of a node of the index, queries searched together, and pairs of a query and a code that are in memory at once at worst.
+FANOUT, QUERIES, FRONTIER = 8, 2048, 1_000_000
 
 
 def _blocks(bits: list[int], n: int) -> list[list[int]]:
@@ -162,9 +162,11 @@ def pairs_within(gid: np.ndarray, codes: np.ndarray, radius: int, small: int = 9
 def index_pairs(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of all pairs within ``radius``, by searching one Gray-order index for all its codes."""
     index = GrayIndex(codes)
-    for k in range(0, len(codes), QUERIES):
+    # where all codes are near each other nothing is pruned, and each query meets each code
+    step = max(16, min(QUERIES, FRONTIER // max(1, len(codes))))
+    for k in range(0, len(codes), step):
         # queries in Gray order walk the same nodes
-        own = index.order[k : k + QUERIES]
+        own = index.order[k : k + step]
         q, c = index.within(codes[own], radius)
         keep = c > own[q]
         yield own[q[keep]], c[keep]
