@@ -333,7 +333,7 @@ def test_guardrails(spark):
 
 
 def test_catalogue():
-    from lodestat.plans import core_queries  # noqa: F401
+    from lodestat.plans import analysis_queries, core_queries  # noqa: F401
 
     assert len(ANALYSES) == 52 and set(ORACLES) <= set(QUERIES)
     assert {f"analysis_{a}" for a in ANALYSES} <= set(QUERIES)
@@ -354,7 +354,7 @@ def test_stream_in_batches(spark, tmp_path):
 @pytest.mark.parametrize("name", ["filter_ne", "merge_outer", "profile_columns", "kaplan_meier", "mann_whitney_ranks"])
 def test_queries_match_their_sql(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
-    from lodestat.plans import core_queries  # noqa: F401
+    from lodestat.plans import analysis_queries, core_queries  # noqa: F401
 
     rng = random.Random(3)
     spark.createDataFrame([(k, rng.choice(["en", "de"]), f"src{k % 12}", rng.randint(10, 4000)) for k in range(60)], "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
