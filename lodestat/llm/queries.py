@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html, lines, lm, packing, simhash, tokens, toxicity
+from . import align, ann, chat, decontaminate, html, impact, lines, lm, packing, resample, simhash, tokens, toxicity
 from .common import id_remainder, load, new_folder, written
 
 
@@ -67,6 +67,42 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_length_buckets, op2_token_shards, op3_simhash_groups, op4_lm_scores, op5_fuzzy_lines, op6_hash_forest, op7_decontaminate, op8_main_text, op9_chat_format, op10_toxicity)}
-#: No query here has SQL: each is tested against brute force, an exact round trip or held-out accuracy.
-ORACLES: dict[str, str] = {}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(load(spark, sf_dir, "documents"), _tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_length_buckets, op2_token_shards, op3_simhash_groups, op4_lm_scores, op5_fuzzy_lines, op6_hash_forest, op7_decontaminate, op8_main_text, op9_chat_format, op10_toxicity, op11_resample, op12_impact_top_k, op13_align)}
+#: The word counts of a text, as op11 has it, and crc32 of each distinct word bit by bit.
+_OP11 = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+words AS (SELECT r, unnest(w) AS f FROM docs),
+known AS (SELECT f, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i::INT + 1, 2))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM (SELECT f FROM words UNION SELECT f FROM items)),
+bucketed AS (SELECT f, xor(crc, 4294967295) % 10000 AS bucket FROM known),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN bucketed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM items JOIN bucketed USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM words) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM items) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM words JOIN bucketed USING (f) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM docs LEFT JOIN weights USING (r)),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM drawn
+"""
+_OP12 = """
+WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
+"""
+#: The other queries have no SQL: each is tested against brute force, an exact round trip or held-out accuracy.
+ORACLES: dict[str, str] = {"op11_resample": _OP11, "op12_impact_top_k": _OP12}
