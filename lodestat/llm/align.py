@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove, written
-from .tokens import REMEMBERED, Encoder
+from .tokens import Encoder
 
-#: UTF-8 bytes of text that are aligned at once; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+#: Characters of text that are aligned at once; a longer text is a chunk of its own.
+CHUNK = 1 << 20
 #: Parts into which the rows of one pair are dealt in the first stage of counting.
 SALTS = 16
+#: Runs of blanks with a word of which a worker remembers the ids, twice over.
+REMEMBERED = 150_000
 #: The character that stands for a blank in pieces.
 BLANK = "▁"
 
@@ -79,6 +81,7 @@ class PieceTokens:
     If no piece holds a blank after another character, no merge crosses the
     start of a run of blanks, so the ids of a text are those of its runs of
     blanks with the word behind; these are remembered.  Else whole texts are encoded.
+    (Texts that hold the blank's sign itself are not given back, however they are cut.)
     """
 
     def __init__(self, path: str):

@@ -23,13 +23,13 @@ from .common import written
 #: Components are multiplied by this and rounded down.
 SCALE = 1024
 #: Vectors of a slice and queries of a block, the units of one task.
-SLICE, BLOCK = 8192, 2048
+SLICE, BLOCK = 8192, 512
 #: Levels of quantised impact: segments of a component's posting list.
 LEVELS = 256
 #: Steps of the impact down to which segments are read before the proof is tried again.
-ROUNDS = 8
-#: A query stops when at most this many vectors, for each wanted one, can be members.
-STOP = 8
+ROUNDS = 12
+#: A query stops when at most this many vectors of a slice can be members.
+STOP = 1024
 
 _INDEX = "dim int, slice int, vectors binary, order binary, ids binary, of binary"
 
@@ -47,10 +47,12 @@ class ImpactIndex:
         self.order = np.argsort(x, axis=0, kind="stable").astype("<i4").T.copy() if order is None else order
         self.low, self.high = x.min(0), x.max(0)
         self.width = -(-(self.high - self.low + 1) // levels)
-        # the segment of each posting, in order, and the least and greatest value that it may hold
-        sorted_x = np.take_along_axis(x, self.order.T, 0).T
-        self.least = sorted_x - (sorted_x - self.low[:, None]) % self.width[:, None]
+        # of each segment the least and greatest value that it may hold, and where its postings begin
+        self.least = self.low[:, None] + self.width[:, None] * np.arange(levels)
         self.greatest = np.minimum(self.least + self.width[:, None] - 1, self.high[:, None])
+        level = (x - self.low) // self.width
+        sizes = np.stack([np.bincount(level[:, d], minlength=levels) for d in range(x.shape[1])])
+        self.sizes, self.begin = sizes, np.concatenate([np.zeros((len(sizes), 1), np.int64), np.cumsum(sizes, 1)], 1)
 
     def possible(self, q: np.ndarray, k: int, eligible: np.ndarray, stop: int, rounds: int = ROUNDS) -> Found:
         """All eligible vectors that may be among the ``k`` of greatest inner product with ``q``, ties included."""
@@ -58,26 +60,40 @@ class ImpactIndex:
         if np.count_nonzero(eligible) <= max(k, stop):
             return Found(np.flatnonzero(eligible), 0)
         floor = np.minimum(q * self.low, q * self.high)
-        up = q > 0
-        near, far = np.where(up[:, None], self.least, self.greatest), np.where(up[:, None], self.greatest, self.least)
-        sure, most = q[:, None] * near - floor[:, None], q[:, None] * far - floor[:, None]
+        ends = [q[:, None] * edge - floor[:, None] for edge in (self.least, self.greatest)]
+        sure, most = np.minimum(*ends), np.maximum(*ends)
         slack = int((np.abs(q) * (self.width - 1)).sum())
+        # sum and number of the postings of a vector go into one double, exact below 2^53
+        bits = dim.bit_length()
+        packed = int(most.max(1).sum() + 1) << bits < 1 << 53
+        adds = ((sure << bits) + 1).astype(np.float64) if packed else sure
         total, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        begin, end = np.where(up, n, 0), np.where(up, n, 0)
-        top, found, postings = int(most.max()), eligible, 0
+        up, levels, rows = q > 0, most.shape[1], np.arange(dim)
+        done = np.where(up, levels, 0)
+        top, found, postings, certain = int(most.max()), eligible, 0, None
         for r in range(1, rounds + 1):
             impact = top * (rounds - r) // rounds if r < rounds else -1
-            # postings of the impact or less lie at one end of each component's list
-            begin, end = end, np.where(up, (most <= impact).sum(1), n - (most <= impact).sum(1))
-            parts = [(d, slice(*sorted((begin[d], end[d])))) for d in range(dim) if begin[d] != end[d]]
+            # segments above the impact lie at one end of each component's list
+            above = (most > impact).sum(1)
+            upto = np.where(up, levels - above, above)
+            parts = [(d, *sorted((done[d], upto[d]))) for d in rows if done[d] != upto[d]]
+            done = upto
             if parts:
-                ids = np.concatenate([self.order[d, part] for d, part in parts])
-                np.add.at(total, ids, np.concatenate([sure[d, part] for d, part in parts]))
-                seen += np.bincount(ids, minlength=n)
+                ids = np.concatenate([self.order[d, self.begin[d, b] : self.begin[d, e]] for d, b, e in parts])
+                each = np.concatenate([np.repeat(adds[d, b:e], self.sizes[d, b:e]) for d, b, e in parts])
+                if packed:
+                    both = np.bincount(ids, weights=each, minlength=n).astype(np.int64)
+                    total, seen = total + (both >> bits), seen + (both & (1 << bits) - 1)
+                else:
+                    np.add.at(total, ids, each)
+                    np.add.at(seen, ids, 1)
                 postings += len(ids)
-            # what is certain of the k best; what any vector may have at most: unread components give the impact or less
-            sums = total[eligible]
-            certain = np.partition(sums, len(sums) - k)[len(sums) - k]
+            # the k best sums so far belong to vectors whose exact scores no member falls below
+            sums = total if eligible.all() else np.where(eligible, total, -1)
+            best = np.argpartition(sums, n - k)[n - k :]
+            proof = int((self.x[best] @ q).min() - floor.sum())
+            certain = proof if certain is None else max(certain, proof)
+            # what any vector may have at most: unread components give the impact or less
             found = eligible & (total + slack + (dim - seen) * max(impact, 0) >= certain)
             if np.count_nonzero(found) <= stop:
                 break
@@ -120,7 +136,7 @@ def _search(k: int):
             lists = ImpactIndex(x, np.frombuffer(row["order"], "<i4").reshape(dim, len(x))) if dim else None
             for own, v in zip(right["vec_id"].tolist(), q, strict=True):
                 eligible = (ids[first[:-1]] != own) | (ids[first[1:] - 1] != own)
-                found = lists.possible(v, k, eligible, STOP * k) if lists else Found(np.flatnonzero(eligible), 0)
+                found = lists.possible(v, k, eligible, max(STOP, k)) if lists else Found(np.flatnonzero(eligible), 0)
                 score = x[found.vectors] @ v
                 if len(score) > k:
                     keep = score >= np.partition(score, len(score) - k)[len(score) - k]
