@@ -361,7 +361,7 @@ def test_queries_match_their_sql(spark, tmp_path, name):
     spark.createDataFrame([(k, k % 2, int(k % 5 == 0)) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(k, k % 7) for k in range(20)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     spark.sql("SELECT id AS o_orderkey, id % 25 AS o_custkey, CASE WHEN id % 3 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus, (id * 37 % 11) * 1.5D AS o_totalprice, timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(id % 30) AS o_orderdate FROM range(80)").write.parquet(f"{tmp_path}/orders.parquet")
-    spark.sql("SELECT id % 80 AS l_orderkey, (id % 50) * 1D AS l_quantity, CASE WHEN id % 4 = 0 THEN 'F' ELSE 'O' END AS l_linestatus, substr('ANR', 1 + id % 3, 1) AS l_returnflag, timestamp_ntz'1995-01-20 00:00:00' + make_dt_interval(id % 40) AS l_shipdate FROM range(300)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id % 80 AS l_orderkey, id % 90 AS l_partkey, id % 9 AS l_suppkey, CAST(1 + id % 7 AS INT) AS l_linenumber, (id % 50) * 1D AS l_quantity, (id * 7919 % 1000) / 7D AS l_extendedprice, (id % 11) / 100D AS l_discount, (id % 9) / 100D AS l_tax, CASE WHEN id % 4 = 0 THEN 'F' ELSE 'O' END AS l_linestatus, substr('ANR', 1 + id % 3, 1) AS l_returnflag, timestamp_ntz'1995-01-20 00:00:00' + make_dt_interval(id % 40) AS l_shipdate FROM range(300)").write.parquet(f"{tmp_path}/lineitem.parquet")
     con = duckdb.connect()
     for table in ("documents", "labels", "customer", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
