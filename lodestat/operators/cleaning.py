@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import dtype, to_number
+from .ranges import quantiles
 from .columns import POS, OperationError, public, require
 
 
@@ -44,7 +45,7 @@ def drop_missing(df: DataFrame, columns: Sequence[str] | None = None, threshold:
 def fill_missing(df: DataFrame, method: str, columns: Sequence[str] | None = None, value: Any = None) -> DataFrame:
     """drop, mean, median, mode (the least of tied ones), zero (empty text for text) or constant.
 
-    All columns' fill values come from one aggregation.
+    All columns' fill values come from one aggregation, medians from two passes.
     """
     names = require(df, columns) if columns else public(df)
     if method == "drop":
@@ -56,7 +57,11 @@ def fill_missing(df: DataFrame, method: str, columns: Sequence[str] | None = Non
             clean = {n: to_number(c, kinds[n]) for n, c in clean.items() if isinstance(kinds[n], (T.NumericType, T.StringType))}
         if not clean:
             return df
-        agg = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "mode": lambda c: F.mode(c, True)}[method]
+        if method == "median":
+            long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("c"), c.alias("v")) for n, c in clean.items()])).alias("x")).select("x.*")
+            middle = {r.c: r.q[0] for r in quantiles(long, [0.5], ["c"]).collect()}
+            own = {id(c): F.lit(middle.get(n)) for n, c in clean.items()}
+        agg = {"mean": F.avg, "median": lambda c: F.any_value(own[id(c)]), "mode": lambda c: F.mode(c, True)}[method]
         row = df.agg(*[agg(c).alias(f"f{k}") for k, c in enumerate(clean.values())], *[F.count_if(c.isNull() & ~_missing(df, n)).alias(f"t{k}") for k, (n, c) in enumerate(clean.items())]).first()
         # a text column counts as numeric only if all its values are numbers
         fills = {n: row[f"f{k}"] for k, n in enumerate(clean) if row[f"f{k}"] is not None and (method == "mode" or not row[f"t{k}"])}

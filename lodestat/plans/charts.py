@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dtype, is_numeric_type, numbers
 from ..operators.columns import OperationError, require
 from ..operators.filters import filter_mask
 from ..operators.ordering import sample
+from ..operators.ranges import quantiles
 from .profile import histogram
 
 CATEGORIES, FACETS, POINTS, BOX_POINTS = 50, 12, 5000, 2000
@@ -23,13 +24,18 @@ def _label(column: str):
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(MISSING))
 
 
-def _value(df: DataFrame, y: str | None, how: str):
+def _aggregated(rows: DataFrame, keys: dict[str, Column], y: str | None, how: str) -> DataFrame:
+    """(keys..., value) of each group."""
     if how not in AGGREGATIONS:
         raise OperationError(f"aggregations are {', '.join(AGGREGATIONS)}")
+    named = [c.alias(k) for k, c in keys.items()]
     if y is None:
-        return F.count("*").cast("double")
-    c = numbers(df, y)[0]
-    return {"sum": F.sum(c), "mean": F.avg(c), "count": F.count(c).cast("double"), "min": F.min(c), "max": F.max(c), "median": F.percentile(c, 0.5)}[how]
+        return rows.groupBy(*named).agg(F.count("*").cast("double").alias("value"))
+    c = numbers(rows, y)[0]
+    if how == "median":
+        return quantiles(rows.select(*named, c.alias("v")), [0.5], list(keys)).select(*keys, F.col("q")[0].alias("value"))
+    value = {"sum": F.sum(c), "mean": F.avg(c), "count": F.count(c).cast("double"), "min": F.min(c), "max": F.max(c)}[how]
+    return rows.groupBy(*named).agg(value.alias("value"))
 
 
 def _with_numbers(df: DataFrame, y: str | None) -> DataFrame:
@@ -42,14 +48,12 @@ def categories(df: DataFrame, x: str, y: str | None = None, aggregation: str = "
     Missing combinations of x and series are 0.
     """
     rows = _with_numbers(df, y)
-    value = _value(df, y, aggregation)
     ordered = is_numeric_type(dtype(df, x)) or dtype(df, x).typeName() in ("date", "timestamp", "timestamp_ntz")
     key = F.col(f"`{x}`") if ordered else _label(x)
-    first = rows.groupBy(key.alias("x")).agg(value.alias("value"))
-    first = first.orderBy(F.asc_nulls_last("x") if ordered else F.desc("value"), "x").limit(k)
+    first = _aggregated(rows, {"x": key}, y, aggregation).orderBy(F.asc_nulls_last("x") if ordered else F.desc("value"), "x").limit(k)
     if not group_by:
         return first.select("x", F.lit("value").alias("series"), "value")
-    cells = rows.groupBy(key.alias("x"), _label(group_by).alias("series")).agg(value.alias("value"))
+    cells = _aggregated(rows, {"x": key, "series": _label(group_by)}, y, aggregation)
     series = rows.groupBy(_label(group_by).alias("series")).count().orderBy(F.desc("count"), "series").limit(k).select("series")
     # at most k by k rows: a frame of all combinations, filled by a join
     grid = first.select("x", F.lit(1).alias("one")).join(series.withColumn("one", F.lit(1)), "one").drop("one").alias("g")
@@ -65,16 +69,16 @@ def pie(df: DataFrame, x: str, y: str | None = None, aggregation: str = "sum") -
 def box(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
     """(x, n, low, q1, median, q3, high) with fences at one and a half times the box."""
     rows = _with_numbers(df, y).select((_label(x) if x else F.lit("all")).alias("x"), numbers(df, y)[0].alias("v"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("x").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), q.alias("q"))
+    ends = rows.groupBy("x").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    out = quantiles(rows, [0.25, 0.5, 0.75], ["x"]).join(ends, "x")
     spread = 1.5 * (F.col("q")[2] - F.col("q")[0])
     return out.select("x", "n", F.greatest("least", F.col("q")[0] - spread).alias("low"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.least("most", F.col("q")[2] + spread).alias("high")).orderBy(F.desc("n"), "x").limit(CATEGORIES)
 
 
 def heatmap(df: DataFrame, x: str, group_by: str, y: str | None = None, aggregation: str = "sum") -> DataFrame:
     """(x, series, value) of at most 50 by 50 labels, in one grouping."""
-    rows, value = _with_numbers(df, y), _value(df, y, aggregation)
-    cells = rows.groupBy(_label(x).alias("x"), _label(group_by).alias("series")).agg(value.alias("value"))
+    rows = _with_numbers(df, y)
+    cells = _aggregated(rows, {"x": _label(x), "series": _label(group_by)}, y, aggregation)
     kept = [rows.groupBy(_label(c).alias(a)).count().orderBy(F.desc("count"), a).limit(CATEGORIES).select(a) for c, a in ((x, "x"), (group_by, "series"))]
     return cells.join(F.broadcast(kept[0]), "x", "left_semi").join(F.broadcast(kept[1]), "series", "left_semi").select("x", "series", "value")
 

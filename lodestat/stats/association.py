@@ -16,7 +16,8 @@ from ..operators.columns import require
 from ..operators.grouping import crosstab as cells_of
 from ..operators.grouping import value_counts
 from ..storage import written
-from .basic import as_list, average_ranks, moments, numeric_columns, running_totals
+from ..operators.ranges import running_totals
+from .basic import as_list, average_ranks, moments, numeric_columns
 from .result import AnalysisError, Result, analysis, result, too_few
 
 #: Different labels of a table that goes to the driver.

@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions.numeric import dtype, is_numeric_type, numbers
 from ..operators.columns import public, require
-from ..storage import written
+from ..operators.ranges import quantiles as ranged
+from ..operators.ranges import running_totals
 from .result import AnalysisError, Result, analysis, result, too_few
 
 
@@ -36,14 +37,17 @@ def grouped(df: DataFrame, value: str, group: str) -> DataFrame:
 def moments(df: DataFrame, columns: list[str], quantiles: bool = True) -> DataFrame:
     """A row for each column: n, mean, sd, min, q1, median, q3, max, sum, skewness, kurtosis; without ``quantiles`` no quartiles.
 
-    One aggregation over all columns.  Skewness and kurtosis divide by powers of
+    One aggregation over all columns, and two passes for their quartiles.  Skewness and kurtosis divide by powers of
     the sample standard deviation.
     """
-    parts = []
+    parts, quartiles = [], {}
+    if quantiles:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("c"), c.alias("v")) for name, c in zip(columns, numbers(df, *columns), strict=True)])).alias("x")).select("x.*")
+        quartiles = {r.c: r.q for r in ranged(long, [0.25, 0.5, 0.75], ["c"]).collect()}
     for name, c in zip(columns, numbers(df, *columns), strict=True):
         n = F.count(c)
         ratio = F.sqrt((n - 1) / n)
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if quantiles else F.array(*[F.lit(None).cast("double")] * 3)
+        q = F.array(*[F.lit(x).cast("double") for x in quartiles.get(name, [None] * 3)])
         parts.append(F.struct(F.lit(name).alias("column"), n.alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(c).alias("max"), F.sum(c).alias("sum"), (F.skewness(c) * F.pow(ratio, 3)).alias("skewness"), ((F.kurtosis(c) + 3) * F.pow(ratio, 4) - 3).alias("kurtosis")))
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("r")).select("r.*")
 
@@ -83,8 +87,8 @@ def normality(df: DataFrame, columns: Any = None, column: Any = None, **_: Any)
 
 
 def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(g, n, mean, var, median) of each group."""
-    return grouped(df, value, group).groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"), F.percentile("v", 0.5).alias("median"))
+    """(g, n, mean, var) of each group."""
+    return grouped(df, value, group).groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
 
 
 def welch(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -105,7 +109,7 @@ def anova_parts(g: DataFrame) -> DataFrame:
 
 def brown_forsythe(g: DataFrame) -> DataFrame:
     """ANOVA of distances to the group's median; there are as many medians as groups."""
-    centre = g.groupBy("g").agg(F.percentile("v", 0.5).alias("c"))
+    centre = ranged(g, [0.5], ["g"]).select("g", F.col("q")[0].alias("c"))
     return anova_parts(g.join(centre, "g").select("g", F.abs(F.col("v") - F.col("c")).alias("v")))
 
 
@@ -144,24 +148,6 @@ def one_way_anova(df: DataFrame, value_column: str | None = None, group_column:
     return result("one_way_anova", r.n, {"between": r.between, "within": r.within}, {"statistic": r.f, "df1": d1, "df2": d2, "p_value": D.f_sf(r.f, d1, d2) if r.f is not None else None}, effect={"eta_squared": r.between / total if total else None, "omega_squared": (r.between - d1 * ms) / (total + ms) if total + ms else None}, diagnostics={"levene": _levene(g)}, tables={"groups": table})
 
 
-def running_totals(df: DataFrame, order: str, columns: list[str], group: str | None = None, descending: bool = False) -> DataFrame:
-    """Adds ``<c>_upto`` for each of ``columns``: its total over the rows up to this one, by ``order``, in each ``group``.
-
-    Rows are dealt into ranges and written, so that the marks of the ranges are one and the same
-    wherever they are read.  Totals of ranges are added up first (a row for each range and
-    group), then inside each: no task sees all rows, or all of a group.
-    """
-    key = F.col(f"`{order}`").desc() if descending else F.col(f"`{order}`")
-    by = [group] if group else []
-    spread = written(df.repartitionByRange(*by, key).withColumn("_p", F.spark_partition_id()), "ranges")
-    totals = spread.groupBy("_p", *by).agg(*[F.sum(c).alias(f"{c}_t") for c in columns])
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_p", *by, *[F.coalesce(F.sum(f"{c}_t").over(earlier), F.lit(0)).alias(f"{c}_t") for c in columns])
-    inner = Window.partitionBy("_p", *by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    inside = spread.select("*", *[F.sum(c).over(inner).alias(f"{c}_in") for c in columns])
-    return inside.join(totals, ["_p", *by]).select(*df.columns, *[(F.col(f"{c}_in") + F.col(f"{c}_t")).alias(f"{c}_upto") for c in columns])
-
-
 def average_ranks(values: DataFrame, value: str = "v") -> DataFrame:
     """(v, n, r): each distinct value with its number and average rank."""
     counts = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))

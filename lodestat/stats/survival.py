@@ -13,7 +13,7 @@ from ..functions.numeric import numbers, to_boolean
 from ..operators.columns import require
 from ..storage import written
 from .association import shown
-from .basic import running_totals
+from ..operators.ranges import running_totals
 from .result import AnalysisError, Result, analysis, result, too_few
 
 
