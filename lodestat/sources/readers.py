@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import FALSY, TRUTHY, to_boolean, to_number, to_timestamp
 from ..operators.columns import OperationError, public
+from .delimited import read_delimited
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Bytes from which the delimiter of a text file is guessed.
@@ -57,26 +58,14 @@ def head_bytes(spark: SparkSession, path: str, n: int = SNIFFED) -> bytes:
     return "\n".join(r.value for r in text).encode()[:n]
 
 
-def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFFED).alias("b")).limit(1).collect()
-    raw = bytes(head[0].b) if head else b""
-    try:
-        raw.decode("utf-8")
-        encoding = "UTF-8"
-    except UnicodeDecodeError as e:
-        encoding = "UTF-8" if e.start > len(raw) - 4 else "ISO-8859-1"
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", b'"' in raw).option("escape", '"').csv(path)
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
-
-
 @reader(".csv")
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _delimited(spark, path, ",")
+    return read_delimited(spark, path, ",")
 
 
 @reader(".tsv")
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return _delimited(spark, path, "\t")
+    return read_delimited(spark, path, "\t")
 
 
 @reader(".txt")
@@ -86,7 +75,7 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
         sep = csv.Sniffer().sniff(head, delimiters=",\t;|").delimiter
     except csv.Error:
         sep = ","
-    return _delimited(spark, path, sep)
+    return read_delimited(spark, path, sep)
 
 
 @reader(".json")
