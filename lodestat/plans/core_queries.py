@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import correlation, numbers
 from ..operators import cleaning, columns, combine, filters, grouping, ordering
 from ..operators.columns import POS
+from ..sources.readers import read
 from ..sources.tables import page_tables
+from ..storage import new_folder
 from ..stats import association, basic, run_analysis, survival
 from ..stats.design import centred_products
 from ..streaming import windowed_counts
@@ -453,3 +455,14 @@ def _(spark, d):
 def _(spark, d):
     rows = run_analysis(t(spark, d, "lineitem"), "weighted_frequencies", columns="l_returnflag", weight_column="l_quantity")["tables"]["l_returnflag"]
     return spark.createDataFrame([(r["value"], round(float(r["weight"]), 2), r["count"]) for r in rows], "value string, weight double, count long")
+
+
+# Delimited text with quoted line feeds, written from documents and read back in splits
+
+
+@query("read_csv_quoted", "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5, lang FROM documents")
+def _(spark, d):
+    folder = new_folder(spark, "csv") + ".csv"
+    t(spark, d, "documents").select("doc_id", "text", "lang").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    text = F.coalesce("text", F.lit(""))
+    return read(spark, folder).select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"), "lang")

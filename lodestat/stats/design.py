@@ -8,7 +8,7 @@ numbers whatever the rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import dtype, is_numeric_type, numbers
 from ..operators.columns import public, require
 from .basic import as_list
+from .likelihoods import Model, block_sums
 from .result import AnalysisError
 
-LogLik = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-
 
 def features_of(df: DataFrame, target: str, p: dict) -> list[str]:
     found = as_list(p.get("features") or p.get("predictors") or p.get("x") or p.get("independent"))
@@ -80,24 +79,8 @@ def centred_products(rows: DataFrame, names: list[str]) -> tuple[float, np.ndarr
     return n, mean + rest, s
 
 
-def _derivatives(loglik: LogLik, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(log-likelihood, score, negative curvature, outer products of scores) of a block, by central differences."""
-    k = len(theta)
-    h = 1e-4 * np.maximum(1.0, np.abs(theta))
-    at = lambda *moves: loglik(theta + sum((s * h[i] * np.eye(k)[i] for i, s in moves), np.zeros(k)), x, y)
-    base, up, down = at(), [at((i, 1)) for i in range(k)], [at((i, -1)) for i in range(k)]
-    score = np.array([(u - d) / (2 * h[i]) for i, (u, d) in enumerate(zip(up, down, strict=True))])
-    curve = np.zeros((k, k))
-    for i in range(k):
-        curve[i, i] = -(up[i] - 2 * base + down[i]).sum() / h[i] ** 2
-        for j in range(i):
-            both = at((i, 1), (j, 1)) - at((i, 1), (j, -1)) - at((i, -1), (j, 1)) + at((i, -1), (j, -1))
-            curve[i, j] = curve[j, i] = -both.sum() / (4 * h[i] * h[j])
-    return np.concatenate([[base.sum()], score.sum(1), curve.ravel(), (score @ score.T).ravel()])
-
-
-def maximise(rows: DataFrame, y: str, names: list[str], loglik: LogLik, start: np.ndarray, rounds: int = 60, intercept: bool = True, blocks: tuple[int, ...] = (0,)) -> dict:
-    """Damped Newton steps on the sum of ``loglik(theta, x, y)``, a number for each row; x has a leading 1 column.
+def maximise(rows: DataFrame, y: str, names: list[str], model: Model, start: np.ndarray, rounds: int = 60, intercept: bool = True, blocks: tuple[int, ...] = (0,)) -> dict:
+    """Damped Newton steps on the summed log-likelihood of ``model``, whose derivatives are in closed form; x has a leading 1 column.
 
     Features (all names but the offset ``_off``) are standardised while the model is
     fitted, and the parameters taken back: steps, curvature and the test of
@@ -125,7 +108,7 @@ def maximise(rows: DataFrame, y: str, names: list[str], loglik: LogLik, start: n
                 for b in batches:
                     own = iter(((b[scaled].to_numpy(float) - mean) / sd).T)
                     x = np.column_stack([*([np.ones(len(b))] if intercept else []), *[b[n].to_numpy(float) if n == "_off" else next(own) for n in names]])
-                    total += _derivatives(loglik, theta, x, b[y].to_numpy(float))
+                    total += block_sums(model(theta, x, b[y].to_numpy(float)))
             yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
         got = rows.select(*[f"`{c}`" for c in dict.fromkeys([y, *names])]).mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()

@@ -15,23 +15,9 @@ from ..functions import distributions as D
 from ..operators.columns import POS, require
 from .basic import as_list, average_ranks, jarque_bera
 from .design import centred, centred_products, complete, features_of, maximise, shifted, two_values
+from .likelihoods import extra_parameters, ll_hurdle, ll_logit, ll_negative_binomial, ll_ordinal, ll_poisson, ll_probit, ll_tobit, ll_zero_inflated
 from .result import AnalysisError, Result, analysis, result, too_few
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
-def _log_cdf(z: np.ndarray) -> np.ndarray:
-    """Log of the normal distribution function; far left by its expansion."""
-    z = np.asarray(z, float)
-    near = np.log(np.maximum(0.5 * _erfc(-np.maximum(z, -30) / math.sqrt(2)), 1e-300))
-    return np.where(z < -20, -(z * z) / 2 - np.log(np.maximum(-z, 1)) - 0.5 * math.log(2 * math.pi), near)
-
-
-def _softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, x)
-
-
 def table_of(names: list[str], theta: np.ndarray, se: np.ndarray, df: float | None = None, exp: str | None = None, level: float = 0.95) -> list[dict]:
     quantile = D.t_ppf(0.5 + level / 2, df) if df else D.normal_ppf(0.5 + level / 2)
     out = []
@@ -124,15 +110,6 @@ def linear_probability(df: DataFrame, target: str, positive_category: Any = None
     return result("linear_probability_model", f["n"], {"positive": positive, "r_squared": 1 - f["rss"] / f["total"] if f["total"] else None}, tables={"hc1": table_of(["intercept", *names], f["beta"], np.sqrt(np.diag(cov)), f["df"])})
 
 
-def ll_logit(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    eta = x @ theta
-    return y * eta - _softplus(eta)
-
-
-def ll_probit(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return _log_cdf((2 * y - 1) * (x @ theta))
-
-
 def area_under_curve(scored: DataFrame) -> float | None:
     """From (s, y): the rank sum of positives, exact with ties."""
     per = scored.groupBy(F.col("s").alias("v")).agg(F.count("*").alias("c"), F.sum("y").alias("p"))
@@ -182,53 +159,6 @@ def _counts(df: DataFrame, target: str, p: dict) -> tuple[DataFrame, list[str],
     return rows.where(F.col(f"`{target}`") >= 0).persist(), names, ["_off", *names]
 
 
-def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.delete(x, 1, axis=1), x[:, 1]
-
-
-def ll_poisson(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z, off = _split(x)
-    eta = np.clip(z @ theta + off, -700, 700)
-    return y * eta - np.exp(eta) - _lgamma(y + 1)
-
-
-def ll_negative_binomial(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """NB2; the last parameter is the log of alpha."""
-    z, off = _split(x)
-    eta, r = np.clip(z @ theta[:-1] + off, -700, 700), math.exp(-np.clip(theta[-1], -20, 20))
-    return _lgamma(y + r) - math.lgamma(r) - _lgamma(y + 1) + r * math.log(r) + y * eta - (y + r) * np.logaddexp(math.log(r), eta)
-
-
-def _count_ll(kind: str):
-    """(log-likelihood, extra parameters) of a count distribution."""
-    return (ll_negative_binomial, 1) if kind.startswith("n") else (ll_poisson, 0)
-
-
-def ll_zero_inflated(kind: str, k: int):
-    """Zeros with a logit share on top of a count distribution; parameters: counts, then zeros."""
-    count, extra = _count_ll(kind)
-
-    def f(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        own, zero = theta[: k + extra], np.delete(x, 1, axis=1) @ theta[k + extra :]
-        plain = count(own, x, y)
-        return np.where(y == 0, np.logaddexp(zero, plain), plain) - _softplus(zero)
-
-    return f
-
-
-def ll_hurdle(kind: str, k: int):
-    """A logit for any count at all, a truncated count distribution above; parameters: counts, then the logit."""
-    count, extra = _count_ll(kind)
-
-    def f(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        own, some = theta[: k + extra], np.delete(x, 1, axis=1) @ theta[k + extra :]
-        none = count(own, x, np.zeros(len(y)))
-        above = count(own, x, y) - np.log(np.maximum(-np.expm1(none), 1e-300))
-        return np.where(y == 0, 0.0, some + above) - _softplus(some)
-
-    return f
-
-
 def _start_counts(rows: DataFrame, target: str, k: int) -> np.ndarray:
     mean = rows.agg(F.sum(f"`{target}`") / F.sum(F.exp("_off"))).first()[0] or 1.0
     return np.concatenate([[math.log(max(mean, 1e-6))], np.zeros(k)])
@@ -269,7 +199,7 @@ def _two_part(kind: str, df: DataFrame, target: str, distribution: str, make, p:
     k = len(names) + 1
     if n < 2 * k + 1 or not 0 < zeros < 1:
         return too_few(kind, n, 2 * k + 1)
-    extra = _count_ll(distribution)[1]
+    extra = extra_parameters(distribution)
     base = maximise(rows, target, columns, ll_poisson, _start_counts(rows, target, len(names)))
     share = max(0.05, min(0.95, zeros)) if kind == "hurdle" else max(0.05, min(0.9, zeros / 2))
     logit = math.log((1 - share) / share) if kind == "hurdle" else math.log(share / (1 - share))
@@ -290,19 +220,6 @@ def hurdle(df: DataFrame, target: str, distribution: str = "poisson", **p: Any)
     return _two_part("hurdle", df, target, distribution, ll_hurdle, p, "any")
 
 
-def ll_tobit(limit: float, right: bool):
-    """Normal errors, observations at the limit only known to lie beyond; the last parameter is log sigma."""
-    sign = -1.0 if right else 1.0
-
-    def f(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        s, line = math.exp(np.clip(theta[-1], -30, 30)), x @ theta[:-1]
-        z = (y - line) / s
-        inside = -0.5 * z * z - math.log(s) - 0.5 * math.log(2 * math.pi)
-        return np.where(sign * (y - limit) <= 0, _log_cdf(sign * (limit - line) / s), inside)
-
-    return f
-
-
 @analysis("tobit")
 def tobit(df: DataFrame, target: str, threshold: float | None = None, censoring_value: float | None = None, censor_type: str | None = None, side: str | None = None, **p: Any) -> Result:
     limit = threshold if threshold is not None else censoring_value
@@ -321,21 +238,6 @@ def tobit(df: DataFrame, target: str, threshold: float | None = None, censoring_
     return result("tobit", f["n"], {"sigma": math.exp(fit["theta"][-1]), "log_likelihood": fit["loglik"], "censored": censored}, diagnostics={"converged": fit["converged"]}, tables={"coefficients": table_of(["intercept", *names], fit["theta"][:-1], fit["se"][:-1])})
 
 
-def ll_ordinal():
-    """Proportional odds; parameters: slopes, first cut, logs of the steps to the others.  x has no leading 1."""
-
-    def f(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        k = x.shape[1]
-        cuts = np.concatenate([[-np.inf], theta[k] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(theta[k + 1 :], -20, 20)))]), [np.inf]])
-        line = x @ theta[:k]
-        level = y.astype(int)
-        upper, lower = cuts[level + 1] - line, cuts[level] - line
-        cdf = lambda z: 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-        return np.log(np.maximum(cdf(upper) - cdf(lower), 1e-300))
-
-    return f
-
-
 @analysis("ordinal_logit")
 def ordinal_logit(df: DataFrame, target: str, **p: Any) -> Result:
     """Levels are in order of numbers if all are numbers, else of text."""
