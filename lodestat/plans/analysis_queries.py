@@ -399,7 +399,50 @@ def _normal(term: str) -> str:
 _PROBIT = newton_sql(f"SELECT (l_linestatus = {RARER})::INT::DOUBLE AS y, l_quantity AS x1, l_discount AS x2 FROM lineitem", _normal("(y - CDF) * DENSITY / (CDF * (1 - CDF))"), _normal("DENSITY * DENSITY / (CDF * (1 - CDF))"), 3, steps=5)
 scalars("probit", {f"b{i}": (f"tables.coefficients.{i}.coefficient", 4) for i in range(3)}, f"WITH {_PROBIT} SELECT b0, b1, b2 FROM t5", prepare=lines, **_TARGETS)
 unchecked("negative_binomial", lines, target="l_linenumber", features=["l_discount"])
-unchecked("zero_inflated", zeros, target="zeros", features=["l_discount"])
+
+
+def newton_indices_sql(rel: str, designs: list[list[str]], terms: dict[str, str], start: list[str], steps: int = 12) -> str:
+    """Common tables t0 .. of parameters b0 ..: Newton steps by indices e0 .., each a row of ``designs`` times b.
+
+    ``terms`` gives g0 .. and h00, h01 .., the derivatives of the log-likelihood by the indices; it may name terms of its own before.
+    """
+    k, m = len(start), len(designs)
+    parts = [f"r AS MATERIALIZED ({rel})", f"t0 AS (SELECT {', '.join(f'({v})::DOUBLE AS b{i}' for i, v in enumerate(start))})"]
+    index = [" + ".join(f"b{j} * {v}" for j, v in enumerate(row) if v != "0") for row in designs]
+    for s in range(steps):
+        score = [" + ".join(f"g{i} * {designs[i][j]}" for i in range(m) if designs[i][j] != "0") for j in range(k)]
+        curve = {(a, b): " + ".join(f"h{min(i, j)}{max(i, j)} * {designs[i][a]} * {designs[j][b]}" for i in range(m) for j in range(m) if "0" not in (designs[i][a], designs[j][b])) for a in range(k) for b in range(a, k)}
+        sums = ", ".join([f"sum({v}) AS s{j}" for j, v in enumerate(score)] + [f"-sum({v or '0'}) AS c{a}{b}" for (a, b), v in curve.items()])
+        made = ", ".join([f"{v} AS e{i}" for i, v in enumerate(index)] + [f"{v} AS {n}" for n, v in terms.items()])
+        parts.append(f"n{s} AS (SELECT {sums} FROM (SELECT *, {made} FROM r, t{s}))")
+        moves = solve([[f"c{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)], [f"s{i}" for i in range(k)])
+        parts.append(f"t{s + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i} + {v} AS b{i}' for i, v in enumerate(moves))} FROM t{s}, n{s})")
+    return ", ".join(parts)
+
+
+_INFLATED = newton_indices_sql(
+    "SELECT greatest(l_linenumber - 3, 0)::DOUBLE AS y, l_discount AS x FROM lineitem",
+    [["1", "x", "0", "0"], ["0", "0", "1", "x"]],
+    {
+        "mu": "exp(e0)",
+        "p": "1 / (1 + exp(-e1))",
+        "w": "CASE WHEN y = 0 THEN 1 / (1 + exp(-e1 - mu)) ELSE 0 END",
+        "g0": "CASE WHEN y = 0 THEN -(1 - w) * mu ELSE y - mu END",
+        "g1": "w - p",
+        "h00": "CASE WHEN y = 0 THEN -(1 - w) * mu + w * (1 - w) * mu * mu ELSE -mu END",
+        "h01": "w * (1 - w) * mu",
+        "h11": "w * (1 - w) - p * (1 - p)",
+    },
+    ["0.8", "0", "-0.5", "0"],
+)
+scalars(
+    "zero_inflated",
+    {"count0": ("tables.count.0.coefficient", 3), "count1": ("tables.count.1.coefficient", 3), "zero0": ("tables.zero.0.coefficient", 3), "zero1": ("tables.zero.1.coefficient", 3), "loglik": ("estimate.log_likelihood", 2)},
+    f"WITH {_INFLATED}, l AS (SELECT sum(CASE WHEN y = 0 THEN ln(p + (1 - p) * exp(-mu)) ELSE ln(1 - p) + y * ln(mu) - mu - lgamma(y + 1) END) AS loglik FROM (SELECT y, exp(b0 + b1 * x) AS mu, 1 / (1 + exp(-b2 - b3 * x)) AS p FROM r, t12)) SELECT b0 AS count0, b1 AS count1, b2 AS zero0, b3 AS zero1, loglik FROM t12, l",
+    prepare=zeros,
+    target="zeros",
+    features=["l_discount"],
+)
 _ZEROS = "greatest(l_linenumber - 3, 0)::DOUBLE"
 _MEAN = "(exp(eta) / (1 - exp(-exp(eta))))"  # of a count that is not zero
 _ANY = newton_sql(f"SELECT ({_ZEROS} > 0)::INT::DOUBLE AS y, l_discount AS x1 FROM lineitem", "y - 1 / (1 + exp(-eta))", "exp(-eta) / pow(1 + exp(-eta), 2)", 2, steps=6, name="a")
@@ -412,8 +455,58 @@ scalars(
     target="zeros",
     features=["l_discount"],
 )
-unchecked("tobit", lines, target="l_quantity", features=["l_discount"], threshold=5)
-unchecked("ordinal_logit", lines, target="l_returnflag", features=["l_quantity"])
+# e0 the line, e1 the log of sigma; a value at the limit is known to lie below: eta is its distance in sigmas
+_TOBIT = newton_indices_sql(
+    "SELECT l_quantity AS y, l_discount AS x FROM lineitem",
+    [["1", "x", "0"], ["0", "0", "1"]],
+    {
+        "sd": "exp(e1)",
+        "z": "(y - e0) / sd",
+        "eta": "(5 - e0) / sd",
+        "a": _normal("DENSITY / (CDF)"),
+        "d": "-a * (eta + a)",
+        "g0": "CASE WHEN y <= 5 THEN -a / sd ELSE z / sd END",
+        "g1": "CASE WHEN y <= 5 THEN -eta * a ELSE z * z - 1 END",
+        "h00": "CASE WHEN y <= 5 THEN d / (sd * sd) ELSE -1 / (sd * sd) END",
+        "h01": "CASE WHEN y <= 5 THEN (d * eta + a) / sd ELSE -2 * z / sd END",
+        "h11": "CASE WHEN y <= 5 THEN d * eta * eta + a * eta ELSE -2 * z * z END",
+    },
+    ["(SELECT avg(l_quantity) FROM lineitem)", "0", "(SELECT ln(stddev_samp(l_quantity)) FROM lineitem)"],
+)
+scalars(
+    "tobit",
+    {"b0": ("tables.coefficients.0.coefficient", 3), "b1": ("tables.coefficients.1.coefficient", 3), "sigma": ("estimate.sigma", 3), "censored": ("estimate.censored", 0)},
+    f"WITH {_TOBIT} SELECT b0, b1, exp(b2) AS sigma, (SELECT count(*) FROM lineitem WHERE l_quantity <= 5) AS censored FROM t12",
+    prepare=lines,
+    target="l_quantity",
+    features=["l_discount"],
+    threshold=5,
+)
+_ORDINAL = newton_indices_sql(
+    "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, l_quantity AS x FROM lineitem",
+    [["-x", "1", "0"], ["-x", "0", "1"]],
+    {
+        "f0": "1 / (1 + exp(-e0))",
+        "f1": "1 / (1 + exp(-e1))",
+        "d0": "f0 * (1 - f0)",
+        "d1": "f1 * (1 - f1)",
+        "p": "f1 - f0",
+        "g0": "CASE y WHEN 0 THEN 1 - f0 WHEN 1 THEN -d0 / p ELSE 0 END",
+        "g1": "CASE y WHEN 2 THEN -f1 WHEN 1 THEN d1 / p ELSE 0 END",
+        "h00": "CASE y WHEN 0 THEN -d0 WHEN 1 THEN -d0 * (1 - 2 * f0) / p - g0 * g0 ELSE 0 END",
+        "h01": "CASE y WHEN 1 THEN -g0 * g1 ELSE 0 END",
+        "h11": "CASE y WHEN 2 THEN -d1 WHEN 1 THEN d1 * (1 - 2 * f1) / p - g1 * g1 ELSE 0 END",
+    },
+    ["0", "-0.7", "0.7"],
+)
+scalars(
+    "ordinal_logit",
+    {"slope": ("tables.coefficients.0.coefficient", 6), "cut_a": ("tables.cuts.A", 4), "cut_n": ("tables.cuts.N", 4)},
+    f"WITH {_ORDINAL} SELECT b0 AS slope, b1 AS cut_a, b2 AS cut_n FROM t12",
+    prepare=lines,
+    target="l_returnflag",
+    features=["l_quantity"],
+)
 unchecked("ridge_regression", lines, target="l_extendedprice", features=_X)
 unchecked("ridge_lasso", lines, target="l_extendedprice", features=_X)
 unchecked("quantile_regression", lines, target="l_extendedprice", features=["l_quantity"], quantiles=[0.25, 0.5, 0.75])
