@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +41,55 @@ def merge(left: DataFrame, right: DataFrame, how: str = "inner", on: Sequence[st
     return joined.select(*out)
 
 
-def merge_report(left: DataFrame, right: DataFrame, merged: DataFrame, how: str = "inner") -> dict:
-    """Rows of both sides and of a merge, with warnings where the keys probably do not fit: no rows, rows lost, rows multiplied."""
-    a, b, n = left.count(), right.count(), merged.count()
+def key_frequencies(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str]) -> DataFrame:
+    """(k0.., l, r): rows of both sides for each key; missing is a key like any other.  Pre-aggregated, so a hot key is a row a task."""
+    keys = [f"k{i}" for i in range(len(lk))]
+    text = [("string" in (kinds := {left.schema[a].dataType.typeName(), right.schema[b].dataType.typeName()})) and len(kinds) > 1 for a, b in zip(lk, rk, strict=True)]
+    sides = [df.select(*[(F.col(f"`{c}`").cast("string") if odd else F.col(f"`{c}`")).alias(k) for c, k, odd in zip(names, keys, text, strict=True)]).groupBy(*keys).agg(F.count("*").alias(tag)) for df, names, tag in ((left, lk, "l"), (right, rk, "r"))]
+    both = sides[0].withColumn("r", F.lit(0).cast("long")).unionByName(sides[1].withColumn("l", F.lit(0).cast("long")))
+    return both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+
+
+def predict_merge(left: DataFrame, right: DataFrame, how: str = "inner", on: Sequence[str] | None = None, left_on: Sequence[str] | None = None, right_on: Sequence[str] | None = None, **_: object) -> DataFrame:
+    """One row on a merge that is not run: rows of both sides, rows that it would give, keys on both sides, on one
+    side only and more than once on both, and the rows of the key that gives most.
+
+    Rows out are the sum over keys of the product of their frequencies, with the rows of keys without a partner that ``how`` keeps.
+    """
+    if how not in JOINS:
+        raise OperationError(f"how is {', '.join(JOINS)}")
+    lk, rk = require(left, left_on or on, "left keys"), require(right, right_on or on, "right keys")
+    if len(lk) != len(rk):
+        raise OperationError("as many keys on each side")
+    n = F.col("l") * F.col("r")
+    if how in ("left", "outer"):
+        n = n + F.when(F.col("r") == 0, F.col("l")).otherwise(0)
+    if how in ("right", "outer"):
+        n = n + F.when(F.col("l") == 0, F.col("r")).otherwise(0)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return key_frequencies(left, right, lk, rk).agg(zero(F.sum("l")).alias("rows_left"), zero(F.sum("r")).alias("rows_right"), zero(F.sum(n)).alias("rows"), F.count_if((F.col("l") > 0) & (F.col("r") > 0)).alias("keys_shared"), F.count_if(F.col("r") == 0).alias("keys_left_only"), F.count_if(F.col("l") == 0).alias("keys_right_only"), F.count_if((F.col("l") > 1) & (F.col("r") > 1)).alias("keys_repeated"), zero(F.max(n)).alias("rows_of_largest_key"))
+
+
+def merge_report(left: DataFrame, right: DataFrame, how: str = "inner", most_rows: int | None = None, **keys: Any) -> dict:
+    """What a merge would give, with warnings where the keys probably do not fit: no rows, rows lost, rows multiplied, types that differ.
+
+    Nothing is joined.  Beyond ``most_rows`` the merge is refused.
+    """
+    r = predict_merge(left, right, how, **keys).first().asDict()
+    a, b, n = r["rows_left"], r["rows_right"], r["rows"]
+    if most_rows is not None and n > most_rows:
+        raise OperationError(f"the merge would give {n} rows from {a} and {b}, above {most_rows}; {r['keys_repeated']} keys repeat on both sides, one gives {r['rows_of_largest_key']} rows")
     warnings = []
+    pairs = zip(keys.get("left_on") or keys.get("on") or [], keys.get("right_on") or keys.get("on") or [], strict=False)
+    if odd := [x for x, y in pairs if (left.schema[x].dataType.typeName() == "string") != (right.schema[y].dataType.typeName() == "string")]:
+        warnings.append(f"types differ: {', '.join(odd)} is text on one side only")
     if not n:
         warnings.append("no rows: the keys of both sides share no value; compare their spelling and their types")
     elif how == "inner" and n < min(a, b):
         warnings.append(f"rows lost: {n} of {a} are left; a left join shows which keys have no partner")
     elif n > max(a, b):
-        warnings.append(f"rows multiplied: {n} from {a} and {b}; some keys repeat on both sides")
-    return {"how": how, "rows_left": a, "rows_right": b, "rows": n, "warnings": warnings}
+        warnings.append(f"rows multiplied: {n} from {a} and {b}; {r['keys_repeated']} keys repeat on both sides")
+    return {"how": how, **r, "warnings": warnings}
 
 
 def append(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -109,3 +109,66 @@ def _selected(own: DataFrame, brackets: DataFrame, names: list[str], probabiliti
 def medians(rows: DataFrame, by: Sequence[str], values: dict[str, Column]) -> dict[str, DataFrame]:
     """name -> (by..., name): the median of each group, a table for each of ``values``."""
     return {name: quantiles(rows.select(*[f"`{b}`" for b in by], c.alias("_value")), [0.5], by, "_value").select(*[f"`{b}`" for b in by], F.col("q")[0].alias(name)) for name, c in values.items()}
+
+
+def with_previous(rows: DataFrame, order: str, column: str) -> DataFrame:
+    """Adds ``<column>_before``: the value of the row before, by ``order`` (null for the first).
+
+    Rows are dealt into written ranges; a range's first row takes the last value of the
+    range before it that has rows, one number a range.
+    """
+    key = F.col(f"`{order}`")
+    spread = written(rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
+    last = spread.groupBy("_p").agg(F.max_by(column, order).alias("_last"))
+    last = last.select("_p", F.lag("_last").over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("_last"))
+    before = F.lag(column).over(Window.partitionBy("_p").orderBy(key))
+    first = F.row_number().over(Window.partitionBy("_p").orderBy(key)) == 1
+    found = spread.withColumn("_b", before).withColumn("_f", first).join(F.broadcast(last), "_p")
+    return found.select(*rows.columns, F.when(F.col("_f"), F.col("_last")).otherwise(F.col("_b")).alias(f"{column}_before"))
+
+
+def moving_average(rows: DataFrame, position: str, value: str, window: int, block: int = 100_000) -> DataFrame:
+    """Adds ``<value>_moving``: the mean of a centred window of rows by their ``position``, 0, 1, 2..; beyond the ends the end values are repeated.
+
+    Rows are dealt into blocks of positions; rows near a border are copied to the
+    blocks that look at them, and each block is averaged by itself.  An even window has one row more behind it; a
+    window above the number of rows is that number.  A null value makes its windows null.
+    """
+    at, v = F.col(f"`{position}`"), F.col(f"`{value}`")
+    ends = rows.agg(F.count("*").alias("n"), F.min_by(v, at).alias("first"), F.max_by(v, at).alias("last")).first()
+    window = max(1, min(int(window), ends.n or 1))
+    back, ahead, size = window // 2, window - 1 - window // 2, max(block, window)
+    own = F.floor(at / size)
+    seen = rows.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(F.floor((at - ahead) / size), F.floor((at + back) / size))))
+    frame = Window.partitionBy("_block").orderBy(at).rowsBetween(-back, ahead)
+    missing = F.greatest(F.lit(0), back - at) * F.lit(ends.first).cast("double") + F.greatest(F.lit(0), at + ahead - ((ends.n or 0) - 1)) * F.lit(ends.last).cast("double")
+    whole = F.count(v).over(frame) == F.count("*").over(frame)
+    mean = F.when(whole, (F.sum(v).over(frame) + missing) / window)
+    return seen.withColumn(f"{value}_moving", mean).where("_block = _own").drop("_block", "_own")
+
+
+def roc_points(scored: DataFrame, cells: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Rows (s, y) -> the curve, and one row (auc, positives, negatives).
+
+    Hits are added up over descending ranges of the distinct scores, which gives every point of
+    the curve and the exact area.  The curve returned is bounded: of each ``cells``-th of the false positives the last point,
+    with its threshold, true and false positives and their rates.
+    """
+    per = scored.groupBy(F.col("s").alias("v")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("m"))
+    run = written(running_totals(per, "v", ["p", "m"], descending=True), "roc")
+    all_p, all_m = run.agg(F.coalesce(F.sum("p"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0.0))).first()
+    area = run.agg((F.sum(F.col("m") * (F.col("p_upto") - F.col("p") / 2)) / F.lit(float(all_p * all_m) or None)).alias("auc"), F.lit(float(all_p)).alias("positives"), F.lit(float(all_m)).alias("negatives"))
+    cell = F.ceil(F.col("m_upto") * cells / F.lit(float(all_m) or 1.0))
+    last = run.groupBy(cell.alias("cell")).agg(F.max_by(F.struct("v", "p_upto", "m_upto"), F.struct("p_upto", "m_upto")).alias("r"))
+    return last.select(F.col("r.v").alias("threshold"), F.col("r.p_upto").alias("true_positives"), F.col("r.m_upto").alias("false_positives"), F.try_divide("r.p_upto", F.lit(float(all_p))).alias("tpr"), F.try_divide("r.m_upto", F.lit(float(all_m))).alias("fpr")), area
+
+
+def hull(points: list[tuple[float, float]]) -> list[bool]:
+    """Which points of a curve, ascending in both coordinates, are corners of its upper convex hull from (0, 0) to (1, 1)."""
+    chain: list[tuple[float, float, int]] = [(0.0, 0.0, -1)]
+    for k, (x, y) in enumerate(points):
+        while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (y - chain[-2][1]) >= (x - chain[-2][0]) * (chain[-1][1] - chain[-2][1]):
+            chain.pop()
+        chain.append((x, y, k))
+    kept = {k for *_, k in chain}
+    return [k in kept for k in range(len(points))]

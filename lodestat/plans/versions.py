@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Mapping
 from typing import Any
@@ -73,9 +74,13 @@ class Dataset:
         if operation in OPERATIONS:
             out = OPERATIONS[operation](df, **config)
         elif operation in SECOND and other is not None:
-            out = SECOND[operation](df, other, **config)
             if operation == "merge":
-                self.warnings = combine.merge_report(df, other, out, config.get("how", "inner"))["warnings"]
+                # the rows are predicted from the keys: what would give none, or too many, is not computed
+                report = combine.merge_report(df, other, **{k: v for k, v in config.items() if k in ("how", "on", "left_on", "right_on", "most_rows")})
+                self.warnings = report["warnings"]
+                if not report["rows"]:
+                    raise OperationError(f"the result holds no rows or no columns; {self.warnings[-1]}")
+            out = SECOND[operation](df, other, **{k: v for k, v in config.items() if k != "most_rows"})
         else:
             raise OperationError(f"operations are {', '.join([*OPERATIONS, *SECOND])}; the last two take another table")
         # a new order or new rows get new positions, a range-partitioned sort keeps its order
@@ -93,6 +98,19 @@ class Dataset:
             version = r.parent
         return out[::-1]
 
+    def fingerprint(self, version: int) -> str:
+        """A hash of how a version came about: of an upload, its rows in any order; else its operation and the hash it came from."""
+        r = {x.version: x for x in self.log().collect()}[version]
+        if r.parent is not None:
+            text = f"{self.fingerprint(r.parent)}|{r.operation}|{r.configuration}"
+        else:
+            df = self.read(version)
+            names = public(df)
+            h = df.select(F.xxhash64(*[f"`{c}`" for c in names]).alias("h"))
+            sums = h.agg(F.count("*"), F.sum(F.shiftrightunsigned("h", 32).cast("decimal(38,0)")), F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(38,0)"))).first()
+            text = json.dumps([names, [str(x) for x in sums]])
+        return hashlib.sha256(text.encode()).hexdigest()
+
     def page(self, version: int, number: int, size: int) -> DataFrame:
         return ordering.page(self.read(version), number, size).orderBy(POS).drop(POS)
 

@@ -48,14 +48,36 @@ def too_few(kind: str, n: int, need: int = 3) -> Result:
     return result(kind, n, status="insufficient_data", warnings=[f"needs at least {need} complete rows, has {n}"])
 
 
-def run_analysis(df: DataFrame, analysis_type: str, **parameters: Any) -> Result:
-    """Run a registered analysis; its p-values are collected and, from three on, corrected together."""
-    from . import guardrails
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist rows that an analysis reads many times; ``run_analysis`` lets go of them however the analysis ends."""
+    _held.append(df.persist())
+    return df
+
+
+def run_analysis(df: DataFrame, analysis_type: str, checks: bool = False, **parameters: Any) -> Result:
+    """Run a registered analysis; its p-values are collected and, from three on, corrected together.
+
+    With ``checks`` the result tells what the analysis assumes of its columns, with the evidence.
+    """
+    from . import assumptions, guardrails
 
     name = {"normality_test": "normality_tests"}.get(analysis_type, analysis_type)
     if name not in ANALYSES:
         raise AnalysisError(f"no analysis is named {analysis_type!r}")
-    return guardrails.apply(ANALYSES[name](df, **parameters))
+    before = len(_held)
+    try:
+        r = guardrails.apply(ANALYSES[name](df, **parameters))
+        if checks:
+            evidence, found = assumptions.checks_of(df, name, parameters)
+            r["assumptions"] = plain({"evidence": evidence, "checks": found})
+            r["warnings"] += [f"{c['name']}: {c['detail']}" for c in found if c["status"] == "FAIL"]
+        return r
+    finally:
+        while len(_held) > before:
+            _held.pop().unpersist()
 
 
 def as_rows(r: Result) -> list[tuple[str, str, str]]:

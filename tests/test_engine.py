@@ -412,10 +412,10 @@ def test_merge_report(spark):
     a = spark.createDataFrame([(k,) for k in (1, 1, 2, 3)], "k int")
     for keys, word in (((9,), "no rows"), ((2, 5), "rows lost"), ((1, 1, 2), "rows multiplied")):
         b = spark.createDataFrame([(k, "x") for k in keys], "k int, v string")
-        report = merge_report(a, b, merge(a, b, on=["k"]))
+        report = merge_report(a, b, on=["k"])
         assert report["warnings"] == [w for w in report["warnings"] if w.startswith(word)] and len(report["warnings"]) == 1
     b = spark.createDataFrame([(k, "x") for k in (1, 2, 3)], "k int, v string")
-    assert merge_report(a, b, merge(a, b, on=["k"]))["warnings"] == []
+    assert merge_report(a, b, on=["k"])["warnings"] == []
 
 
 def test_fits_do_not_depend_on_scale(spark):
