@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from ..functions.numeric import correlation, numbers
 from ..operators.columns import require
 from ..operators.grouping import crosstab as cells_of
 from ..operators.grouping import value_counts
-from ..storage import written
 from ..operators.ranges import running_totals
+from ..storage import written
 from .basic import as_list, average_ranks, moments, numeric_columns
 from .result import AnalysisError, Result, analysis, result, too_few
 
@@ -137,11 +139,36 @@ def kendall(df: DataFrame, x: str | None = None, y: str | None = None, x_column:
 
 
 def pairwise_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x, y, n, r) of each pair of columns over the rows that have both: one aggregation for all pairs."""
-    c = dict(zip(columns, numbers(df, *columns), strict=True))
-    both = lambda a, b: a.isNotNull() & b.isNotNull()
-    parts = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.count_if(both(c[a], c[b])).alias("n"), correlation(c[a], c[b]).alias("r")) for a, b in combinations(columns, 2)]
-    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    """(x, y, n, r) of each pair of columns over the rows that have both; r is null where either does not vary.
+
+    One pass for the means, one for products of columns less their means: a batch gives
+    matrix products of values and of what is there, so no pair has an expression of its own.
+    """
+    k = len(columns)
+    c = numbers(df, *columns)
+    mean = np.array([m or 0.0 for m in df.agg(*[F.avg(x) for x in c]).first()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, k, k))
+        for b in batches:
+            x = b.to_numpy(float) - mean
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    rows = df.select(*[x.alias(f"c{i}") for i, x in enumerate(c)]).mapInPandas(run, "at int, v double")
+    got = rows.groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
+    n, s, q, xy = got.reshape(4, k, k) if len(got) else np.zeros((4, k, k))
+    out = []
+    for i, j in combinations(range(k), 2):
+        own = n[i, j]
+        # sums of i, of its square, and of j, over the rows that have both
+        vx, vy = (q[a, b] - s[a, b] ** 2 / own if own else 0.0 for a, b in ((i, j), (j, i)))
+        varies = all(v > own * (1e-13 * abs(m)) ** 2 for v, m in ((vx, mean[i]), (vy, mean[j])))
+        r = float((xy[i, j] - s[i, j] * s[j, i] / own) / math.sqrt(vx * vy)) if own > 1 and varies else None
+        out.append((columns[i], columns[j], int(own), r))
+    return df.sparkSession.createDataFrame(out, "x string, y string, n long, r double")
 
 
 @analysis("correlation_matrix")
