@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numeric import all_of
 from ..storage import remove, written
@@ -52,39 +55,47 @@ def quantiles(rows: DataFrame, probabilities: Sequence[float], by: Sequence[str]
     found = found.where("n > 0")
     few = found.limit(GROUPS + 1).collect()
     local = len(few) <= GROUPS
-    brackets = spark.createDataFrame(few, found.schema) if local else written(found, "brackets")
-    answers = _selected(own, brackets, names, probabilities, local, few if local and not names else None)
+    brackets = _local(spark, few, found.schema) if local else written(found, "brackets")
+    answers = _selected(own, brackets, names, probabilities, few if local else None)
     if local:
         got = answers.collect()
         if any(x is None for r in got for x in r.q) or len(got) < len(few):
             missed = [r for r in few if not any(_same(r, g, names) and None not in g.q for g in got)]
-            wide = spark.createDataFrame([(*[r[k] for k in names], r.n, r.least, r.most, [r.least, r.most] * len(probabilities)) for r in missed], found.schema)
-            got = [g for g in got if None not in g.q] + _selected(own, wide, names, probabilities, True, None if names else wide.collect()).collect()
-        out = spark.createDataFrame(got, answers.schema)
+            wide = [Row(**r.asDict() | {"b": [r.least, r.most] * len(probabilities)}) for r in missed]
+            got = [g for g in got if None not in g.q] + _selected(own, _local(spark, wide, found.schema), names, probabilities, wide).collect()
+        out = _local(spark, got, answers.schema)
     else:
         out = written(answers, "quantiles")
         whole = out.where(~F.exists("q", lambda x: x.isNull()))
         rest = brackets.join(whole.select(*names).withColumn("_done", F.lit(1)), all_of([brackets[k].eqNullSafe(whole[k]) for k in names]), "left_anti")
         if not rest.isEmpty():
             wide = rest.withColumn("b", F.flatten(F.array_repeat(F.array("least", "most"), len(probabilities))))
-            out = whole.unionByName(written(_selected(own, wide, names, probabilities, False, None), "quantiles"))
+            out = whole.unionByName(written(_selected(own, wide, names, probabilities, None), "quantiles"))
         remove(spark, brackets)
     return out.select(*[F.col(k).alias(c) for c, k in zip(by, names, strict=True)], "n", "q")
 
 
+def _local(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """A few rows as a local table; times keep to the usual way, which knows the session's zone."""
+    if any(isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) for f in schema):
+        return spark.createDataFrame(rows, schema)
+    columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(to_arrow_schema(schema))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
+
+
 def _same(a, b, names: list[str]) -> bool:
     return all(a[k] == b[k] or a[k] is None and b[k] is None for k in names)
 
 
-def _selected(own: DataFrame, brackets: DataFrame, names: list[str], probabilities: Sequence[float], local: bool, only: list | None) -> DataFrame:
-    """(keys, n, q) of the groups in ``brackets``; a quantile that its bracket misses is null."""
+def _selected(own: DataFrame, brackets: DataFrame, names: list[str], probabilities: Sequence[float], few: list | None) -> DataFrame:
+    """(keys, n, q) of the groups in ``brackets``, which are ``few`` rows or many; a quantile that its bracket misses is null."""
     count = len(probabilities)
-    if only is not None:  # one group: numbers, no join
-        r = only[0] if only else None
+    if few is not None and not names:  # one group: numbers, no join
+        r = few[0] if few else None
         tagged = own.select("v", F.lit(r.n if r else 0).alias("n"), F.lit(r.least if r else None).cast("double").alias("least"), F.lit(r.most if r else None).cast("double").alias("most"), F.array(*[F.lit(float(x)) for x in (r.b if r else [0.0] * 2 * count)]).alias("b"))
     else:
         other = brackets.select(*[F.col(k).alias(f"_{k}") for k in names], "n", "least", "most", "b")
-        tagged = own.join(F.broadcast(other) if local else other, all_of([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]))
+        tagged = own.join(F.broadcast(other) if few is not None else other, all_of([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]))
     small = F.col("n") <= SMALL
 
     def mark(j: int) -> Column:
@@ -94,7 +105,7 @@ def _selected(own: DataFrame, brackets: DataFrame, names: list[str], probabiliti
     marks = F.filter(F.array(*[mark(j) for j in range(count)]), lambda x: x.isNotNull())
     kept = tagged.select(*names, "n", F.explode(marks).alias("m")).groupBy(*names, "n", F.col("m.j").alias("j"), F.col("m.v").alias("v")).agg(F.count("*").alias("c"))
     group = F.struct(*names, "j")
-    if local and sum(r.n if r.n <= SMALL else 4 * MARGIN * r.n for r in (only or brackets.select("n").collect())) * count <= RANKED:
+    if few is not None and sum(r.n if r.n <= SMALL else 4 * MARGIN * r.n for r in few) * count <= RANKED:
         ranked = kept.withColumn("c_upto", F.sum("c").over(Window.partitionBy(*names, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     else:
         ranked = running_totals(kept.withColumn("_g", group), "v", ["c"], group="_g")
