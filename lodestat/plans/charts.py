@@ -124,3 +124,41 @@ def wide(panel: DataFrame) -> DataFrame:
         return panel
     names = [r.series for r in panel.select("series").distinct().orderBy("series").limit(CATEGORIES).collect()]
     return panel.groupBy("x").pivot("series", names).agg(F.first("value")).orderBy("x")
+
+
+#: Characters of a note on a chart.
+NOTE = 280
+
+
+def annotations(notes: list[dict] | None) -> list[dict[str, Any]]:
+    """Notes at places given in values of the data: text and x are needed, y and series may be."""
+    out = []
+    for k, note in enumerate(notes or [], 1):
+        text = str((note or {}).get("text") or "").strip() if isinstance(note, dict) else ""
+        if not text or note.get("x") is None:
+            raise OperationError(f"note {k} needs a text and an x")
+        out.append({"text": text[:NOTE], **{c: note.get(c) for c in ("x", "y", "series")}})
+    return out
+
+
+def placed(panel: DataFrame, notes: list[dict] | None) -> list[dict[str, Any]]:
+    """Notes with the chart's value where they stand, read from the panel's few rows; null where it has none."""
+    found = annotations(notes)
+    if not found or not {"x", "value"} <= set(panel.columns):
+        return [n | {"value": None} for n in found]
+    label = F.col("x").cast("string")
+    wanted = panel.where(label.isin(*{str(n["x"]) for n in found})).select(label.alias("x"), (F.col("series") if "series" in panel.columns else F.lit(None)).cast("string").alias("series"), "value")
+    values = {(r.x, r.series): r.value for r in wanted.collect()}
+    first = {x: v for (x, _), v in sorted(values.items(), key=lambda r: str(r[0]), reverse=True)}
+    return [n | {"value": values.get((str(n["x"]), n["series"]), first.get(str(n["x"])) if n["series"] is None else None)} for n in found]
+
+
+def describe(chart_type: str, x: str | None = None, y: str | None = None, aggregation: str = "sum", group_by: str | None = None, facet: str | None = None, filters: list[dict] | None = None) -> str:
+    """What a chart shows, in a line."""
+    if chart_type not in TYPES:
+        raise OperationError(f"charts are {', '.join(TYPES)}")
+    subject = {"scatter": f"{y} against {x}", "heatmap": f"{aggregation} of {y} by {x}" if y else f"rows by {x}", "box": f"{y or x} by {x}" if y else f"{x}", "histogram": f"{x or y}"}.get(chart_type, f"{aggregation} of {y} by {x}" if y else f"rows by {x}")
+    more = [f"and {group_by}" if chart_type == "heatmap" else f"for each {group_by}"] if group_by else []
+    more += [f"in panels of {facet}"] if facet else []
+    more += ["filtered"] if filters else []
+    return ", ".join([f"{chart_type}: {subject}{' ' + more.pop(0) if more and more[0].startswith('and ') else ''}", *more])

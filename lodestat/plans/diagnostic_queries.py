@@ -9,6 +9,7 @@ from ..operators.columns import POS, with_position
 from ..stats import run_analysis
 from ..stats.assumptions import pair_diagnostics
 from ..storage import new_folder
+from . import charts
 from .analysis_queries import _double, at, solve
 from .core_queries import labelled, rounded, t
 from .registry import query
@@ -143,3 +144,20 @@ def _(spark, d):
 def _(spark, d):
     e = pair_diagnostics(t(spark, d, "part"), "p_brand", "p_size", "table")
     return spark.createDataFrame([(e["sample_size"], e["cells"], e["cells_with_expected_below_5"], round(e["least_expected"], 6))], "sample_size long, cells long, below_5 long, least double")
+
+
+@query(
+    "chi_square_of_many_cells",
+    """WITH o AS (SELECT l_partkey AS r, l_linenumber AS c, count(*)::DOUBLE AS o FROM lineitem GROUP BY ALL), r AS (SELECT r, sum(o) AS rn FROM o GROUP BY r), c AS (SELECT c, sum(o) AS cn FROM o GROUP BY c), s AS (SELECT sum(o) AS n FROM o)
+    SELECT (SELECT n::BIGINT FROM s) AS sample_size, round(sum((coalesce(o, 0) - rn * cn / n) * (coalesce(o, 0) - rn * cn / n) / (rn * cn / n)), 4) AS statistic, (count(DISTINCT r.r) - 1) * (count(DISTINCT c.c) - 1) AS df, round(min(rn * cn / n), 4) AS least_expected FROM r CROSS JOIN c CROSS JOIN s LEFT JOIN o ON o.r = r.r AND o.c = c.c""",
+)
+def _(spark, d):
+    r = run_analysis(t(spark, d, "lineitem"), "chi_square", row_column="l_partkey", column_column="l_linenumber")
+    return spark.createDataFrame([(r["sample_size"], _double(at(r, "test.statistic"), 4), at(r, "test.df"), _double(at(r, "diagnostics.least_expected"), 4))], "sample_size long, statistic double, df long, least_expected double")
+
+
+@query("chart_notes", "SELECT x, round(value, 2)::DOUBLE AS value FROM (SELECT o_orderpriority AS x, sum(o_totalprice) AS value FROM orders GROUP BY 1) WHERE x IN ('1-URGENT', '5-LOW') UNION ALL SELECT 'none', NULL")
+def _(spark, d):
+    panel = charts.build(t(spark, d, "orders"), "bar", "o_orderpriority", "o_totalprice")["all"]
+    notes = charts.placed(panel, [{"text": "first", "x": "1-URGENT"}, {"text": "last", "x": "5-LOW"}, {"text": "nowhere", "x": "none"}])
+    return rounded(spark.createDataFrame([(n["x"], n["value"]) for n in notes], "x string, value double"), 2)

@@ -232,6 +232,19 @@ def chi_square_of(m: np.ndarray) -> dict:
     return {"statistic": stat, "df": d, "p_value": D.chi2_sf(stat, d) if d else None, "v": math.sqrt(stat / (n * min(k - 1 for k in m.shape))) if d else None, "expected": expected}
 
 
+def chi_square_of_cells(cells: DataFrame) -> DataFrame:
+    """One row (n, rows, columns, statistic, df, v, least_expected) from the counted cells (row, column, n) of a table of any size.
+
+    Cells meet their margins by joins; the statistic is n times the sum of o^2 / (row x column) less n, so cells without rows need not be made.
+    """
+    sides = [cells.groupBy(c).agg(F.sum("n").cast("double").alias(f"{c}_n")) for c in ("row", "column")]
+    ends = [s.agg(F.count("*").alias("k"), F.min(f"{c}_n").alias("least"), F.sum(f"{c}_n").alias("n")).first() for s, c in zip(sides, ("row", "column"), strict=True)]
+    n, k = float(ends[0].n or 0), min(ends[0].k, ends[1].k) - 1
+    share = cells.join(sides[0], "row").join(sides[1], "column").agg((F.sum(F.col("n") * F.col("n") / F.col("row_n") / F.col("column_n")) * n - n).alias("statistic"))
+    d = (ends[0].k - 1) * (ends[1].k - 1)
+    return share.select(F.lit(n).alias("n"), F.lit(ends[0].k).alias("rows"), F.lit(ends[1].k).alias("columns"), "statistic", F.lit(d).cast("long").alias("df"), (F.sqrt(F.col("statistic") / F.lit(n * k)) if n and k > 0 else F.lit(None).cast("double")).alias("v"), F.lit((ends[0].least or 0) * (ends[1].least or 0) / n if n else None).cast("double").alias("least_expected"))
+
+
 def fisher_p(m: np.ndarray) -> float:
     """Two-sided: all tables of these margins that are not likelier."""
     a, b, c, d = (int(x) for x in m.ravel())
@@ -250,6 +263,13 @@ def _table(df: DataFrame, missing: str | None, p: dict) -> tuple[np.ndarray, lis
 
 @analysis("chi_square", "crosstab")
 def chi_square(df: DataFrame, method: str | None = None, **p: Any) -> Result:
+    names = p.get("row_column") or p.get("row") or p.get("x"), p.get("column_column") or p.get("column") or p.get("y")
+    cells = cells_of(df, *names, "<missing>")
+    if cells.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        # a large table stays in Spark: the statistic is exact, the cells shown are those with most rows
+        x = chi_square_of_cells(written(cells, "cells")).first()
+        shown = [{"row": r.row, "column": r.column, "observed": float(r.n)} for r in cells.orderBy(F.desc("n"), "row", "column").limit(100).collect()]
+        return result("chi_square", int(x.n), test={"statistic": x.statistic, "df": x.df, "p_value": D.chi2_sf(x.statistic, x.df) if x.df else None}, effect={"cramers_v": x.v}, diagnostics={"least_expected": x.least_expected}, warnings=[f"a table of {x['rows']} rows and {x['columns']} columns: the 100 largest cells are shown"], tables={"cells": shown})
     m, rows, columns = _table(df, "<missing>", p)
     if min(m.shape, default=0) < 2:
         raise AnalysisError("two rows and two columns at least")

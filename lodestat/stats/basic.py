@@ -17,9 +17,14 @@ from ..functions.numeric import dtype, is_numeric_type, numbers
 from ..operators.columns import public, require
 from ..operators.ranges import quantiles as ranged
 from ..operators.ranges import running_totals
+from ..storage import remove, written
 from .result import AnalysisError, Result, analysis, result, too_few
 
 
+#: Groups and cells of a result's tables.
+SHOWN = 10_000
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c in public(df) if is_numeric_type(dtype(df, c))]
 
@@ -183,13 +188,16 @@ def mann_whitney(df: DataFrame, value_column: str | None = None, group_column: s
 @analysis("kruskal_wallis")
 def kruskal_wallis(df: DataFrame, value_column: str | None = None, group_column: str | None = None, value: str | None = None, group: str | None = None, **_: Any) -> Result:
     value, group = value_column or value, group_column or group
-    rows = rank_sums(df, value, group).orderBy("g").collect()
-    n, k = sum(r.n for r in rows), len(rows)
+    sums = written(rank_sums(df, value, group), "rank_sums")
+    t = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("k"), F.sum(F.col("ranks") * F.col("ranks") / F.col("n")).alias("s")).first()
+    n, k = t.n, t.k
     if k < 2 or n < 3:
         return too_few("kruskal_wallis", n)
-    h = 12 / (n * (n + 1)) * sum(r.ranks**2 / r.n for r in rows) - 3 * (n + 1)
+    rows = sums.orderBy("g").limit(SHOWN).collect()
+    remove(df.sparkSession, sums)
+    h = 12 / (n * (n + 1)) * t.s - 3 * (n + 1)
     h /= 1 - ties(df, value, group) / (n**3 - n) or 1
-    return result("kruskal_wallis", n, {"h": h}, {"statistic": h, "df": k - 1, "p_value": D.chi2_sf(h, k - 1)}, effect={"epsilon_squared": h / (n - 1)}, tables={"groups": [{"group": r.g, "n": r.n, "mean_rank": r.ranks / r.n} for r in rows]})
+    return result("kruskal_wallis", n, {"h": h}, {"statistic": h, "df": k - 1, "p_value": D.chi2_sf(h, k - 1)}, effect={"epsilon_squared": h / (n - 1)}, warnings=[f"the first {SHOWN} of {k} groups are shown"] if k > SHOWN else [], tables={"groups": [{"group": r.g, "n": r.n, "mean_rank": r.ranks / r.n} for r in rows]})
 
 
 @analysis("one_sample_t_test")
@@ -241,7 +249,9 @@ def wilcoxon(df: DataFrame, x: str, y: str, **_: Any) -> Result:
 def two_way_anova(df: DataFrame, value_column: str, group_column: str, second_group_column: str, **_: Any) -> Result:
     require(df, [value_column, group_column, second_group_column])
     rows = df.select(F.col(f"`{group_column}`").cast("string").alias("a"), F.col(f"`{second_group_column}`").cast("string").alias("b"), numbers(df, value_column)[0].alias("v")).dropna()
-    cells = [r.asDict() for r in rows.groupBy("a", "b").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var")).orderBy("a", "b").collect()]
+    cells = [r.asDict() for r in rows.groupBy("a", "b").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var")).orderBy("a", "b").limit(SHOWN + 1).collect()]
+    if len(cells) > SHOWN:
+        raise AnalysisError(f"two-way ANOVA takes at most {SHOWN} cells")
     n = sum(c["n"] for c in cells)
     if not cells or min(c["n"] for c in cells) < 3:
         return result("two_way_anova", n, status="invalid", warnings=["each cell needs three values"])
