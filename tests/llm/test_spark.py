@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -334,3 +335,15 @@ def test_pipeline(spark, tmp_path, texts):
     assert 500 in seen[2] and 500 not in seen[3] and {0, 1, 2} <= seen[4]
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.select("doc_id").collect()} == seen[4]
+
+
+def test_shuffle_files_of_a_written_step_are_gone(spark):
+    """Steps of a long job do not add up on local disks."""
+    from lodestat.storage import CLEANUP, written
+
+    held = lambda: {str(p) for root in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in pathlib.Path(root).rglob("shuffle_*.data")}
+    before = held()
+    table = written(spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "probe")
+    assert held() <= before
+    assert table.count() == 7
+    assert spark.conf.get(CLEANUP, "false") == "false"
