@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dtype, is_numeric_type, numbers
 from ..operators.columns import public, require
+from ..storage import written
 from .basic import as_list
 from .likelihoods import Model, block_sums
 from .result import AnalysisError
@@ -79,6 +80,22 @@ def centred_products(rows: DataFrame, names: list[str]) -> tuple[float, np.ndarr
     return n, mean + rest, s
 
 
+#: Rows of a distinct one above which equal rows are put together before passes are made over them.
+REPEATED = 2
+
+
+def counted(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns with ``_times``, how often a row stands for: equal rows become one where they repeat, so that passes go over distinct rows.
+
+    How many there are is estimated in one pass; the result is the same sums either way.
+    """
+    rows = rows.select(*[F.col(f"`{c}`") for c in names])
+    n, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*[f"`{c}`" for c in names]))).first()
+    if n <= REPEATED * distinct:
+        return rows.withColumn("_times", F.lit(1.0))
+    return written(rows.groupBy(*[f"`{c}`" for c in names]).agg(F.count("*").cast("double").alias("_times")), "counted")
+
+
 def maximise(rows: DataFrame, y: str, names: list[str], model: Model, start: np.ndarray, rounds: int = 60, intercept: bool = True, blocks: tuple[int, ...] = (0,)) -> dict:
     """Damped Newton steps on the summed log-likelihood of ``model``, whose derivatives are in closed form; x has a leading 1 column.
 
@@ -86,7 +103,7 @@ def maximise(rows: DataFrame, y: str, names: list[str], model: Model, start: np.
     fitted, and the parameters taken back: steps, curvature and the test of
     convergence do not depend on the units of a column.  ``blocks`` are the places in theta where
     an intercept and slopes begin; without ``intercept`` there are slopes alone, and the
-    parameter after them takes up the shift.
+    parameter after them takes up the shift.  Equal rows are put together first, see ``counted``.
     """
     k, scaled = len(start), [n for n in names if n != "_off"]
     got = rows.agg(*[f(f"`{n}`") for n in scaled for f in (F.avg, F.stddev_pop)]).first() if scaled else ()
@@ -108,12 +125,13 @@ def maximise(rows: DataFrame, y: str, names: list[str], model: Model, start: np.
                 for b in batches:
                     own = iter(((b[scaled].to_numpy(float) - mean) / sd).T)
                     x = np.column_stack([*([np.ones(len(b))] if intercept else []), *[b[n].to_numpy(float) if n == "_off" else next(own) for n in names]])
-                    total += block_sums(model(theta, x, b[y].to_numpy(float)))
+                    total += block_sums(model(theta, x, b[y].to_numpy(float)), b["_times"].to_numpy(float))
             yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
-        got = rows.select(*[f"`{c}`" for c in dict.fromkeys([y, *names])]).mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
+        got = distinct.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
         return got[0], got[1 : 1 + k], got[1 + k : 1 + k + k * k].reshape(k, k), got[1 + k + k * k :].reshape(k, k)
 
+    distinct = counted(rows, list(dict.fromkeys([y, *names])))
     theta = np.linalg.solve(back, np.asarray(start, float))
     value, score, curve, outer = passed(theta)
     converged = False

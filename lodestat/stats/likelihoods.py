@@ -15,12 +15,18 @@ from typing import NamedTuple
 import numpy as np
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+_each_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function, once for each distinct value: counts have few."""
+    own, at = np.unique(x, return_inverse=True)
+    return _each_lgamma(own)[at].reshape(np.shape(x)) if len(own) else np.zeros(np.shape(x))
 
 
 class Parts(NamedTuple):
     """``designs[i]`` is the derivative of index i by theta, [rows, parameters]; ``first[i]``, ``second[i][j]`` are those of the
-    log-likelihood by the indices; ``bend`` is the sum of first derivatives times second ones of the indices by theta."""
+    log-likelihood by the indices; ``bend`` has, for each row, first derivatives times second ones of the indices by theta, which are zero off the diagonal."""
 
     value: np.ndarray
     designs: list[np.ndarray]
@@ -32,17 +38,18 @@ class Parts(NamedTuple):
 Model = Callable[[np.ndarray, np.ndarray, np.ndarray], Parts]
 
 
-def block_sums(parts: Parts) -> np.ndarray:
-    """(log-likelihood, score, negative curvature, outer products of scores), flat."""
+def block_sums(parts: Parts, times: np.ndarray | None = None) -> np.ndarray:
+    """(log-likelihood, score, negative curvature, outer products of scores), flat; a row counts ``times`` times (none given: once)."""
+    times = np.ones(len(parts.value)) if times is None else times
     scores = sum(z * g[:, None] for z, g in zip(parts.designs, parts.first, strict=True))
     curve = np.zeros((scores.shape[1],) * 2)
     for i, a in enumerate(parts.designs):
         for j, b in enumerate(parts.designs[: i + 1]):
-            part = a.T @ (parts.second[i][j][:, None] * b)
+            part = a.T @ ((times * parts.second[i][j])[:, None] * b)
             curve -= part if i == j else part + part.T
     if parts.bend is not None:
-        curve -= parts.bend
-    return np.concatenate([[parts.value.sum()], scores.sum(0), curve.ravel(), (scores.T @ scores).ravel()])
+        curve -= np.diag(times @ parts.bend)
+    return np.concatenate([[times @ parts.value], times @ scores, curve.ravel(), (scores.T @ (times[:, None] * scores)).ravel()])
 
 
 def log_cdf(z: np.ndarray) -> np.ndarray:
@@ -250,7 +257,7 @@ def ll_ordinal() -> Model:
         cross = -first[0] * first[1]
         second = [[d_up * (1 - 2 * f_up) / p - first[0] ** 2, cross], [cross, -d_low * (1 - 2 * f_low) / p - first[1] ** 2]]
         # a cut is the first plus the steps up to it; those at infinity do not move
-        designs, bend = [], np.zeros(len(theta))
+        designs, bend = [], np.zeros((n, len(theta)))
         for at, moves, g in ((level, level < top, first[0]), (level - 1, level > 0, first[1])):
             z = np.zeros((n, len(theta)))
             z[:, :k] = -x
@@ -258,7 +265,7 @@ def ll_ordinal() -> Model:
             z[:, k + 1 :] = (at[:, None] > np.arange(len(steps))) * moves[:, None] * steps
             z[~moves] = 0
             designs.append(z)
-            bend[k + 1 :] += g @ z[:, k + 1 :]
-        return Parts(np.log(p), designs, first, second, np.diag(bend))
+            bend[:, k + 1 :] += g[:, None] * z[:, k + 1 :]
+        return Parts(np.log(p), designs, first, second, bend)
 
     return f

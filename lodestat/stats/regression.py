@@ -16,7 +16,7 @@ from ..functions.numeric import numbers
 from ..operators.columns import POS, require
 from ..operators.ranges import hull, quantiles as ranged, roc_points, with_previous
 from .basic import as_list, jarque_bera
-from .design import centred, centred_products, complete, features_of, maximise, shifted, two_values
+from .design import centred, centred_products, complete, counted, features_of, maximise, shifted, two_values
 from .likelihoods import extra_parameters, ll_hurdle, ll_logit, ll_negative_binomial, ll_ordinal, ll_poisson, ll_probit, ll_tobit, ll_zero_inflated
 from .result import AnalysisError, Result, analysis, hold, result, too_few
 
@@ -456,19 +456,20 @@ def quantile_regression(df: DataFrame, target: str, quantiles: Any = None, tau:
         return too_few("quantile_regression", f["n"], len(names) + 2)
     k, eps = len(names) + 1, 1e-6 * math.sqrt(f["total"] / f["n"] or 1)
     beta = np.tile(f["beta"], (len(taus), 1))
+    distinct = counted(rows, list(dict.fromkeys([target, *names])))
     for _ in range(rounds):
         def run(batches: Iterable[pd.DataFrame], beta=beta) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(taus), k, k + 1))
             for b in batches:
-                x, y = np.column_stack([np.ones(len(b)), b[names].to_numpy(float)]), b[target].to_numpy(float)
+                x, y, times = np.column_stack([np.ones(len(b)), b[names].to_numpy(float)]), b[target].to_numpy(float), b["_times"].to_numpy(float)
                 for i, t in enumerate(taus):
                     r = y - x @ beta[i]
-                    w = np.where(r > 0, t, 1 - t) / np.maximum(np.abs(r), eps)
+                    w = times * np.where(r > 0, t, 1 - t) / np.maximum(np.abs(r), eps)
                     total[i, :, :k] += (x * w[:, None]).T @ x
                     total[i, :, k] += x.T @ (w * y)
             yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
 
-        got = rows.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy().reshape(len(taus), k, k + 1)
+        got = distinct.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy().reshape(len(taus), k, k + 1)
         new = np.array([np.linalg.solve(m[:, :k], m[:, k]) for m in got])
         done, beta = np.abs(new - beta).max() < 1e-6 * (1 + np.abs(beta).max()), new
         if done:

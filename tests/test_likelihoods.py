@@ -61,3 +61,29 @@ def test_tails_stay_finite():
         for model in (L.ll_logit, L.ll_probit):
             p = model(np.array([far]), np.ones((2, 1)), y)
             assert all(np.isfinite(v).all() for v in (p.value, p.first[0], p.second[0][0]))
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_rows_that_count_several_times_are_repeated_rows(name):
+    model, theta, x, y = MODELS[name]
+    theta, y, times = np.array(theta, float), np.asarray(y, float), np.arange(N) % 4
+    at = np.repeat(np.arange(N), times)
+    assert np.allclose(L.block_sums(model(theta, x, y), times.astype(float)), L.block_sums(model(theta, x[at], y[at])), rtol=1e-9, atol=1e-9)
+
+
+def test_passes_go_over_distinct_rows(spark):
+    """Equal rows become one that stands for them, and fits are those of all rows."""
+    from pyspark.sql import functions as F
+
+    from lodestat.stats import run_analysis
+    from lodestat.stats.design import counted
+
+    own = spark.range(40).select((F.col("id") % 5).cast("double").alias("y"), (F.col("id") % 8).cast("double").alias("x"))
+    many = own.crossJoin(spark.range(30).select(F.lit(1).alias("_"))).drop("_")
+    got = counted(many, ["y", "x"]).collect()
+    assert len(got) == 40 and {r["_times"] for r in got} == {30.0}
+    assert {r["_times"] for r in counted(own, ["y", "x"]).collect()} == {1.0}
+    for kind, p in (("poisson_regression", {}), ("quantile_regression", {"quantiles": [0.25, 0.5]})):
+        few, all_ = (run_analysis(d, kind, target="y", features=["x"], **p)["tables"]["coefficients"] for d in (own, many))
+        for a, b in zip(few, all_, strict=True):
+            assert all(b[k] == pytest.approx(a[k], rel=1e-4, abs=1e-4) for k in (a if kind[0] == "q" else ["coefficient"]))
