@@ -171,7 +171,9 @@ class Bits:
         of = np.repeat(np.arange(len(flat), dtype=np.int32), times)
         nth = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(times) - times).astype(np.int32), times)
         value = flat[of]
-        self.byte, self.node, self.bit = of, node[value, nth], bit[value, nth]
+        # nodes of a code of 256 bytes are numbered up to 255; cells widens them
+        self.byte, self.node, self.bit = of, node[value, nth].astype(np.uint8), bit[value, nth]
+        del nth, value
         self.size = np.add.reduceat(times, begins) if len(words) else np.zeros(0, np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.word = np.repeat(np.arange(len(words), dtype=np.int32), self.size)
@@ -188,7 +190,7 @@ class Bits:
 
     def cells(self, context: np.ndarray, at: slice) -> np.ndarray:
         """Table cells of the bits ``at``."""
-        return ((context[self.byte[at]] + self.node[at] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
+        return ((context[self.byte[at]] + self.node[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
 
     def order(self) -> np.ndarray:
         """Rows in the order of their bits."""
@@ -203,7 +205,9 @@ class Bits:
         runs are followed one bit deeper at a time.
         """
         order = order[np.argsort(group[order], kind="stable")]
-        n, n1 = np.zeros(len(self.bit)), np.zeros(len(self.bit))
+        # counts are whole numbers: half the bytes hold them unless they are very large
+        kind = np.uint32 if c.sum() < 2**32 else np.float64
+        n, n1 = np.zeros(len(self.bit), kind), np.zeros(len(self.bit), kind)
         begin, size, group, c = self.begin[order], self.size[order], group[order], c[order]
         new = np.append(True, group[1:] != group[:-1])[: len(order)]  # a run begins here
         depth = 0
@@ -298,8 +302,8 @@ def _predictions(bits: Bits, words: list[bytes], state: np.ndarray, c: np.ndarra
                 x[k] = ratios[k, cell]
         deep = bits.place[byte] >= cut[bits.word[at]]
         for k, (n, n1) in enumerate((plain, stated), len(contexts)):
-            one = n1[at] - less1
-            zero = n[at] - n1[at] - less0
+            one = n1[at].astype(float) - less1
+            zero = n[at].astype(float) - n1[at] - less0
             x[k] = np.where(deep, np.log((np.maximum(one, 0) + DELTA) / (np.maximum(zero, 0) + DELTA)), x[1 if n is plain[0] else len(contexts) - 1])
         count = np.where(deep, one + zero, count)
         x[-1] = 0.3

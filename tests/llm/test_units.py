@@ -187,3 +187,15 @@ def test_grammar_scopes_and_targets():
     assert weight("kill the light") == 0 < weight("I kill you")
     assert weight("loweisch da") == 4.0 and weight("zorb!!") == 3.0
     assert toxicity.features(None, lexicon) == toxicity.features("", lexicon) == (0.0, 0.0, 0.0)
+
+
+def test_bits_of_words_are_held_in_few_bytes():
+    """Counts of beginnings are 32-bit numbers unless they are very large, and the same either way."""
+    words = [b"ab", b"abc", b"b", b""]
+    code = lm.prefix_code(np.bincount(np.frombuffer(b"".join(words) + b" \n", np.uint8), minlength=256))
+    bits = lm.Bits(words, np.zeros(4, np.int64), code)
+    assert bits.node.dtype == np.uint8 and code[1].max() <= 255
+    few, many = (bits.beginnings(bits.order(), np.zeros(4, np.int64), np.array([3.0, 2.0, 1.0, 4.0]) * f) for f in (1, 2.0**32))
+    assert few[0].dtype == np.uint32 and many[0].dtype == np.float64
+    for a, b in zip(few, many, strict=True):
+        assert (a * 2.0**32 == b).all()
