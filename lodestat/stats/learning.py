@@ -94,6 +94,16 @@ def random_forest_regression(df: DataFrame, target: str, n_trees: int = 50, max_
     return result("random_forest_regression", n, {"mse": r.mse, "mae": r.mae, "r_squared": 1 - r.mse / r.v if r.v else None}, tables={"importances": dict(zip(names, model.featureImportances.toArray().tolist(), strict=True))})
 
 
+#: Rows that one task holds as vectors, some 170 bytes each.
+TASK_ROWS = 1_000_000
+
+
+def spread(vectors: DataFrame, n: int) -> DataFrame:
+    """``n`` rows dealt so that no task holds many more than TASK_ROWS of them: a split of a file with few columns read is many rows."""
+    # splits tell nothing of this: all rows of a row group are in one
+    return vectors.repartition(max(-(-n // TASK_ROWS), vectors.rdd.getNumPartitions())) if n > TASK_ROWS else vectors
+
+
 @analysis("kmeans")
 def kmeans(df: DataFrame, features: Any = None, n_clusters: int = 3, seed: int = 42, max_iter: int = 300, **p: Any) -> Result:
     """Lloyd's algorithm on unscaled columns; the silhouette compares distances to centroids."""
@@ -103,6 +113,7 @@ def kmeans(df: DataFrame, features: Any = None, n_clusters: int = 3, seed: int =
     if n < n_clusters + 1:
         return too_few("kmeans", n, n_clusters + 1)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    vectors = spread(vectors, n)
     model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter).fit(vectors)
     centres = model.clusterCenters()
     dist = F.array_sort(F.array(*[F.sqrt(sum((F.pow(F.col(f"`{c}`") - float(m[i]), 2) for i, c in enumerate(names)), F.lit(0.0))) for m in centres]))

@@ -201,3 +201,14 @@ def test_assumptions_come_with_a_result(spark):
     r = run_analysis(cells, "chi_square", checks=True, row_column="row", column_column="col")["assumptions"]
     assert r["evidence"]["cells_with_expected_below_5"] == 2 and r["evidence"]["least_expected"] == pytest.approx(9 * 6 / 35, abs=1e-6) and r["evidence"]["cells"] == 4
     assert "assumptions" not in run_analysis(cells, "chi_square", row_column="row", column_column="col")
+
+
+def test_vectors_of_one_large_split_are_dealt_to_several_tasks(spark, monkeypatch):
+    from lodestat.stats import learning
+
+    monkeypatch.setattr(learning, "TASK_ROWS", 100)
+    one = spark.range(1000).coalesce(1)
+    assert learning.spread(one, 1000).rdd.getNumPartitions() == 10
+    assert learning.spread(one, 100).rdd.getNumPartitions() == 1
+    r = run_analysis(one.select((F.col("id") % 2 * 10.0).alias("a"), (F.col("id") % 3).cast("double").alias("b")), "kmeans", features=["a", "b"], n_clusters=2)
+    assert sorted(r["tables"]["sizes"]) == [500, 500]
