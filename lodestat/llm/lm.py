@@ -4,8 +4,8 @@ The model writes a text as its tokens' bytes, a blank after each word and a
 line feed at the end, each byte in a prefix code of the training corpus, and
 predicts one bit after the other.  Contexts are the last one to four bytes of
 the word (hashed tables of fixed size, counted over the whole training
-corpus), the whole beginning of the word (exact counts, made where all words
-of that beginning are), and each of these with the text's state: the group of
+corpus), the whole beginning of the word (exact counts over the whole training corpus, whatever
+the number of words that begin alike), and each of these with the text's state: the group of
 the frequent word seen last, groups being frequent words that keep company
 (in practice, languages).  The predictions are stretched, combined by weights
 that a gate selects, trained online over all training words with each count's own occurrence left out,
@@ -17,17 +17,17 @@ not depend on the text, so that it is worked out once for all its occurrences.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, id_remainder, shuffle_buckets, written
+from .common import id_remainder, shuffle_buckets, written
 
 #: Add-constant of the unigram score.
 ALPHA = 0.1
@@ -41,7 +41,9 @@ STATE_WORDS, GROUPS = 64, 6
 FREQUENT, FREQUENT_BYTES = 400_000, 64
 #: Words of one bucket, bits of one online step, learning rate, least number of groups that learn apart and are averaged, words of one.
 BUCKET, STEP, RATE, TRAINERS, TRAINED = 60_000, 8192, 0.3, 12, 100_000
-#: Rows of one start from which it is split.
+#: A training word is a border between parts of its start (its first DEEP bytes) if its hash is 0 modulo SPLIT: a part has so many words on average.
+SPLIT = 10_000
+#: Rows of one start from which ``with_starts`` cuts deeper.
 HOT = 20_000
 #: Gate: counts of the beginning by powers of two, times the position in the word.
 COUNTS, PLACES, BINS = 10, 8, 33
@@ -50,30 +52,42 @@ SLAB = 32_768
 END = b""
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(ASCII_LOWER).split()
+def _tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and how many each text has."""
+    kind = pa.large_string() if pa.types.is_large_binary(column.type) else pa.string()
+    column = column.fill_null(b"")
+    # the kernels look at ASCII bytes alone, so that any bytes will do
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(kind, len(column), [None, *column.buffers()[1:]], offset=column.offset)))
+    flat, n = words.flatten(), words.value_lengths().to_numpy().astype(np.int64)
+    solid = pc.binary_length(flat).to_numpy() > 0
+    if not solid.all():  # blanks at the ends of a text
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[solid], minlength=len(n))
+        flat = flat.filter(pa.array(solid))
+    return flat, n
+
+
+def _binary(words: pa.Array) -> pa.Array:
+    return words.cast(pa.binary())
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of up to FREQUENT_BYTES with their number, a row for each word of a batch."""
     for batch in batches:
-        seen: Counter = Counter()
-        for t in batch.column(0).to_pylist():
-            seen.update(_words(t))
-        words = [w for w in seen if len(w) <= FREQUENT_BYTES]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64())], ["word", "c"])
+        seen = _tokens(batch.column(0))[0].value_counts()
+        seen = seen.filter(pc.less_equal(pc.binary_length(seen.field("values")), FREQUENT_BYTES))
+        yield pa.RecordBatch.from_arrays([_binary(seen.field("values")), seen.field("counts")], ["word", "c"])
 
 
 def _company(names: list[bytes]):
-    number = {w: k for k, w in enumerate(names)}
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that hold both of two words (one: ``a`` = ``b``), a row for each pair of a task."""
         n = np.zeros((len(names), len(names)), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                own = [number[w] for w in number.keys() & set(_words(t))]
-                n[np.ix_(own, own)] += 1
+            words, size = _tokens(batch.column(0))
+            known = pc.index_in(_binary(words), pa.array(names, pa.binary())).fill_null(-1).to_numpy()
+            own = np.zeros((len(size), len(names)))
+            own[np.repeat(np.arange(len(size)), size)[known >= 0], known[known >= 0]] = 1
+            n += (own.T @ own).astype(np.int64)
         a, b = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n[a, b])], ["a", "b", "n"])
 
@@ -97,34 +111,39 @@ def state_groups(company: np.ndarray, groups: int = GROUPS) -> list[int]:
     return out
 
 
-def _runs(words: list[bytes], states: dict[bytes, int]) -> Iterator[tuple[int, list[bytes]]]:
-    """Tokens of a text (with its end) in runs of one state, that before them; 0: no frequent word came yet."""
-    seen = np.fromiter(map(states.get, words, repeat(0)), np.int64, len(words))
-    at = np.flatnonzero(seen)
-    at = at[np.append(True, seen[at][1:] != seen[at][:-1])] if len(at) else at
-    state, a = 0, 0
-    for k, b in zip(seen[at].tolist(), (at + 1).tolist(), strict=True):
-        yield state, words[a:b]
-        state, a = k, b
-    yield state, [*words[a:], END]
+def _states(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State before each word and at the end of each text of ``n`` words: the group that was set last (0: none yet); ``sets``: what a word sets, 0 if nothing."""
+    begin = np.cumsum(n) - n
+    last = np.maximum.accumulate(np.where(sets > 0, np.arange(len(sets)), -1)) if len(sets) else np.zeros(0, np.int64)
+    after = np.where(last >= np.repeat(begin, n), sets[last], 0)
+    some = n > 0
+    before, end = np.append(0, after)[: len(sets)], np.zeros(len(n), np.int64)
+    before[begin[some]] = 0
+    end[some] = after[(begin + n - 1)[some]]
+    return before, end
 
 
 def _count_pairs(states):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, Counter] = {}
-            other: dict[int, set] = {}
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for state, run in _runs(_words(text), states.value):
-                    if held:
-                        other.setdefault(state, set()).update(run)
-                    else:
-                        seen.setdefault(state, Counter()).update(run)
-            for state in seen.keys() | other.keys():
-                counts = seen.get(state, Counter())
-                new = [w for w in other.get(state, ()) if w not in counts]
-                word, c = [*counts, *new], [*counts.values(), *repeat(0, len(new))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), state, np.int32)), pa.array(word, pa.binary()), pa.array(c, pa.int64())], ["state", "word", "c"])
+            words, n = _tokens(batch.column(0))
+            held = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = words.dictionary_encode()
+            number, names = words.indices.to_numpy(), _binary(words.dictionary)
+            known = states.value
+            sets = np.zeros(len(names) + 1, np.int64)
+            at = pc.index_in(pa.array(list(known), pa.binary()), names).fill_null(len(names)).to_numpy()
+            sets[at] = list(known.values())
+            sets[len(names)] = 0
+            before, end = _states(sets[number], n)
+            # one column for each word and one for the end, for training texts and for those held out
+            size = len(names) + 1
+            rows = np.concatenate([before * size + number, end * size + len(names)])
+            out = np.concatenate([np.repeat(held, n), held]) * ((GROUPS + 1) * size)
+            counts = np.bincount(rows + out, minlength=2 * (GROUPS + 1) * size).reshape(2, -1)
+            row = np.flatnonzero(counts.any(0))
+            word = pa.concat_arrays([names, pa.array([END], pa.binary())]).take(pa.array(row % size))
+            yield pa.RecordBatch.from_arrays([pa.array((row // size).astype(np.int32)), word, pa.array(counts[0, row])], ["state", "word", "c"])
 
     return run
 
@@ -278,19 +297,19 @@ def _ratios(tables: np.ndarray) -> np.ndarray:
     return _held[id(tables)]
 
 
-def _predictions(bits: Bits, words: list[bytes], state: np.ndarray, c: np.ndarray, cut: np.ndarray, tables: np.ndarray, left_out: bool) -> Iterator[tuple]:
-    """(bits, stretched predictions, gate) by slabs; ``left_out``: without one occurrence of the row's own word."""
+def _predictions(bits: Bits, own: int, part: np.ndarray, state: np.ndarray, c: np.ndarray, tables: np.ndarray, left_out: bool) -> Iterator[tuple]:
+    """(bits, stretched predictions, gate) by slabs of the first ``own`` rows; ``left_out``: without one occurrence of the row's own word."""
     order = bits.order()
-    plain, stated = bits.beginnings(order, np.zeros(len(words), np.int64), c), bits.beginnings(order, state, c)
+    plain, stated = bits.beginnings(order, part, c), bits.beginnings(order, part * (GROUPS + 1) + state, c)
     contexts = [bits.contexts(k) for k in range(len(CONTEXTS))]
     known = (c > 0).astype(np.float32)
     ratios = None if left_out else _ratios(tables)
     place = np.minimum(bits.place, PLACES - 1).astype(np.int16)
-    for at in _pieces(len(bits.bit), SLAB):
+    for at in _pieces(int(bits.size[:own].sum()), SLAB):
         bit, byte = bits.bit[at], bits.byte[at]
-        own = bit.astype(np.float32)
-        less1 = known[bits.word[at]] * own if left_out else np.float32(0)
-        less0 = known[bits.word[at]] * (1 - own) if left_out else np.float32(0)
+        one_more = bit.astype(np.float32)
+        less1 = known[bits.word[at]] * one_more if left_out else np.float32(0)
+        less0 = known[bits.word[at]] * (1 - one_more) if left_out else np.float32(0)
         x = np.empty((INPUTS, len(bit)), np.float32)
         for k, context in enumerate(contexts):
             cell = bits.cells(context, at)
@@ -300,12 +319,14 @@ def _predictions(bits: Bits, words: list[bytes], state: np.ndarray, c: np.ndarra
                 x[k] = np.log((np.maximum(n1, 0) + DELTA) / (np.maximum(n0, 0) + DELTA))
             else:
                 x[k] = ratios[k, cell]
-        deep = bits.place[byte] >= cut[bits.word[at]]
-        for k, (n, n1) in enumerate((plain, stated), len(contexts)):
-            one = n1[at].astype(float) - less1
-            zero = n[at].astype(float) - n1[at] - less0
-            x[k] = np.where(deep, np.log((np.maximum(one, 0) + DELTA) / (np.maximum(zero, 0) + DELTA)), x[1 if n is plain[0] else len(contexts) - 1])
-        count = np.where(deep, one + zero, count)
+        deep = np.flatnonzero(bits.place[byte] >= DEEP)
+        less1, less0 = (v[deep] if left_out else v for v in (less1, less0))
+        for k, ((n, n1), shallow) in enumerate(zip((plain, stated), (1, len(contexts) - 1), strict=True), len(contexts)):
+            all_of, ones = n[at][deep].astype(float), n1[at][deep].astype(float)
+            one, zero = ones - less1, all_of - ones - less0
+            x[k] = x[shallow]
+            x[k, deep] = np.log((np.maximum(one, 0) + DELTA) / (np.maximum(zero, 0) + DELTA))
+        count[deep] = one + zero
         x[-1] = 0.3
         gate = np.minimum(np.log2(np.maximum(count, 0) + 1).astype(np.int16), COUNTS - 1) * PLACES + place[byte]
         yield at, x, gate.astype(np.int64)
@@ -315,27 +336,28 @@ def _bin(s: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(s * 2) + BINS // 2, 0, BINS - 1).astype(np.int64)
 
 
-def _rows(pdf: pd.DataFrame, code: tuple) -> tuple:
-    pdf.sort_values(["word", "state"], inplace=True, ignore_index=True)  # the same order however rows were dealt
-    words, state = [bytes(w) for w in pdf["word"]], pdf["state"].to_numpy(np.int64)
-    return Bits(words, state, code), words, state, pdf["c"].to_numpy().astype(float), pdf["cut"].to_numpy(np.int64)
+def _rows(table: pa.Table, code: tuple) -> tuple:
+    """Bits of a table's rows, how many of them are its own (first, the same order however rows were dealt), and the columns."""
+    table = table.sort_by([("own", "descending"), ("word", "ascending"), ("state", "ascending")])
+    words, (state, part, c) = table["word"].to_pylist(), (table[name].to_numpy().astype(np.int64) for name in ("state", "part", "c"))
+    return table, Bits(words, state, code), pc.sum(table["own"]).as_py() or 0, part, state, c.astype(float)
 
 
 def _train(tables, code: tuple):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         """Online descent over a bucket's words; gives its weights and the counts of the adaptive table."""
         k = COUNTS * PLACES
         w, power = np.full((k, INPUTS), 0.3, np.float32), np.full((k, INPUTS), 1e-2)
-        steps, table = np.zeros(k), np.zeros((COUNTS, BINS, 2))
-        bits, words, state, c, cut = _rows(pdf, code)
-        for at, x, gate in _predictions(bits, words, state, c, cut, tables.value, True):
+        steps, refine = np.zeros(k), np.zeros((COUNTS, BINS, 2))
+        _, bits, own, part, state, c = _rows(table, code)
+        for at, x, gate in _predictions(bits, own, part, state, c, tables.value, True):
             much = np.minimum(c, 30.0)[bits.word[at]]
             for a in range(0, x.shape[1], STEP):
                 xs, g, y, m = x[:, a : a + STEP], gate[a : a + STEP], bits.bit[at][a : a + STEP], much[a : a + STEP]
                 s = xs[0] * w[:, 0][g]
                 for j in range(1, INPUTS):
                     s += xs[j] * w[:, j][g]
-                table += np.bincount((g // PLACES * BINS + _bin(s)) * 2 + y, m, table.size).reshape(table.shape)
+                refine += np.bincount((g // PLACES * BINS + _bin(s)) * 2 + y, m, refine.size).reshape(refine.shape)
                 total, miss = np.bincount(g, m, k), (y - _squash(s)) * m
                 up = np.stack([np.bincount(g, xs[j] * miss, k) for j in range(INPUTS)], axis=1).astype(np.float32)
                 # each weight's step shrinks with its past gradients
@@ -343,27 +365,30 @@ def _train(tables, code: tuple):
                 power += up.astype(float) ** 2
                 w += np.where(total[:, None] > 0, RATE * up / np.sqrt(power), 0).astype(np.float32)
                 steps += total
-        return pd.DataFrame({"x": [np.concatenate([(w * steps[:, None]).ravel(), steps, table.ravel()]).tolist()]})
+        return pa.table({"x": pa.array([np.concatenate([(w * steps[:, None]).ravel(), steps, refine.ravel()])], pa.list_(pa.float64()))})
 
     return run
 
 
 def _score(tables, code: tuple, model):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         """Model log10 probability of each (state, word), the word's count in all states, and a mark on one row of each word."""
         w, refine = model.value
-        bits, words, state, c, cut = _rows(pdf, code)
-        logp = np.zeros(len(words))
+        table, bits, rows, part, state, c = _rows(table, code)
+        logp = np.zeros(rows)
         columns = np.ascontiguousarray(w.T)
-        for at, x, gate in _predictions(bits, words, state, c, cut, tables.value, False):
+        for at, x, gate in _predictions(bits, rows, part, state, c, tables.value, False):
             s = x[0] * columns[0][gate]
             for k in range(1, INPUTS):
                 s += x[k] * columns[k][gate]
             p = np.clip(0.5 * _squash(s) + 0.5 * refine[gate // PLACES, _bin(s)], 1e-6, 1 - 1e-6)
             own = bits.word[at]
             logp[own[0] : own[-1] + 1] += np.bincount(own - own[0], np.log10(np.where(bits.bit[at] == 1, p, 1 - p)))
-        same = pdf["word"].map(bytes)
-        return pd.DataFrame({"state": pdf["state"], "word": words, "c": pdf["c"], "n": pdf["c"].groupby(same).transform("sum"), "first": ~same.duplicated(), "model": logp})
+        table = table.slice(0, rows)
+        word, count = table["word"].combine_chunks(), table["c"].to_numpy()
+        first = np.append(True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False))[:rows]
+        n = np.add.reduceat(count, np.flatnonzero(first))[np.cumsum(first) - 1] if rows else count
+        return pa.table({"state": table["state"], "word": word, "c": table["c"], "n": pa.array(n, pa.int64()), "first": pa.array(first, pa.bool_()), "model": pa.array(logp)})
 
     return run
 
@@ -371,8 +396,7 @@ def _score(tables, code: tuple, model):
 def with_starts(pairs: DataFrame, most: int = HOT) -> DataFrame:
     """Adds ``cut``: words of one group share their first ``cut`` bytes, DEEP or, where more than ``most`` rows do, more.
 
-    So a start of very many words (as of addresses) is many groups; up to its cut a
-    word is predicted by the hashed contexts, which hold the whole corpus.
+    Scores do not use it: see ``parted``, whose parts keep the counts of beginnings whole.
     """
     rows = pairs.withColumn("cut", F.lit(DEEP))
     for length in (DEEP, 2 * DEEP, 4 * DEEP, 8 * DEEP):
@@ -385,8 +409,93 @@ def with_starts(pairs: DataFrame, most: int = HOT) -> DataFrame:
     return rows
 
 
-def _start() -> Column:
-    return F.substring(F.col("word"), F.lit(1), F.col("cut"))
+def _deal(borders):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the number of borders of their start up to the word (null: the start has none), of all and of those of training words."""
+        of = borders.value
+        for batch in batches:
+            n = batch.num_rows
+            part, trained, none = np.zeros(n, np.int32), np.zeros(n, np.int32), np.ones(n, bool)
+            for k, w in enumerate(batch.column(1).to_pylist()):
+                if own := of.get(w[:DEEP]):
+                    part[k] = at = bisect_right(own[0], w + b" ")
+                    trained[k], none[k] = own[1][at], False
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(part, mask=none), pa.array(trained, mask=none)], ["state", "word", "c", "part", "trained"])
+
+    return run
+
+
+def _branches(nodes):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(state, beginning, c): the words' counts by each beginning that is one byte longer than a beginning of a border."""
+        for batch in batches:
+            seen: Counter = Counter()
+            for state, word, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                word += b" "
+                at = DEEP
+                while at < len(word) and word[:at] in nodes.value:
+                    at += 1
+                    seen[state, word[:at]] += c
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["state", "word", "c"])
+
+    return run
+
+
+def _outside(nodes, kind: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows for each part of the words beyond its borders, cut behind the first byte in which they differ from the border."""
+        for batch in batches:
+            to, at = [], []
+            for k, word in enumerate(batch.column(1).to_pylist()):
+                for goes_on, numbers in nodes.value[word[:-1]]:
+                    number = numbers[kind]
+                    # a border is the first word of its part
+                    if number and (word != goes_on or word.endswith(b" ")):
+                        to.append(number - (word >= goes_on))
+                        at.append(k)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(to, pa.int32())], ["state", "word", "c", "part"])
+
+    return run
+
+
+def parted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, word, c, part, own) rows dealt into parts of starts, for scores and, of the words with a count only, for training.
+
+    A start's words in the order of their bytes are cut into parts at its
+    borders, words chosen by their hash; so one start, however many words it has,
+    is many parts.  A beginning whose words lie in several parts is a beginning
+    of a border between them, so a part gets the others' words of these beginnings too (``own`` false), summed up by
+    the byte in which they leave the border.  With them the counts of beginnings
+    in a part are those of the whole corpus.
+    """
+    sc = pairs.sparkSession.sparkContext
+    chosen = (F.length("word") >= DEEP) & (F.pmod(F.xxhash64("word", F.lit(5)), F.lit(SPLIT)) == 0)
+    # one word of SPLIT
+    found = sorted((bytes(r.word) + b" ", r.seen) for r in pairs.where(chosen).groupBy("word").agg((F.max("c") > 0).alias("seen")).collect())
+    by_start: dict[bytes, tuple[list, list]] = {}
+    nodes: dict[bytes, list] = {}
+    for border, seen in found:
+        names, trained = by_start.setdefault(border[:DEEP], ([], [0]))
+        names.append(border)
+        trained.append(trained[-1] + seen)
+        for at in range(DEEP, len(border)):
+            nodes.setdefault(border[:at], []).append((border[: at + 1], (len(names), trained[-1] if seen else 0)))
+    shared = sc.broadcast(nodes)
+    rows = written(pairs.select("state", "word", "c").mapInArrow(_deal(sc.broadcast(by_start)), "state int, word binary, c long, part int, trained int"), "parts")
+    branches = written(rows.where("part IS NOT NULL AND c > 0").select("state", "word", "c").mapInArrow(_branches(shared), "state int, word binary, c long").groupBy("state", "word").agg(F.sum("c").alias("c")), "branches")
+    out = []
+    for kind, own in enumerate((rows.select("state", "word", "c", "part"), rows.where("c > 0").select("state", "word", "c", F.col("trained").alias("part")))):
+        beyond = branches.mapInArrow(_outside(shared, kind), "state int, word binary, c long, part int")
+        both = own.withColumn("own", F.lit(True)).unionByName(beyond.withColumn("own", F.lit(False)))
+        out.append(both.withColumn("part", F.coalesce("part", F.lit(0))))
+    return out[0], out[1]
+
+
+def _dealt(rows: DataFrame, buckets: int, *seed: Column) -> DataFrame:
+    """Rows with their bucket: parts go whole; the first part of a start goes by the start alone."""
+    later = F.when(F.col("part") > 0, F.col("part"))  # hashes pass over nulls
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(F.substring("word", 1, DEEP), *seed, later), F.lit(buckets)))
 
 
 def pair_scores(pairs: DataFrame) -> DataFrame:
@@ -396,7 +505,6 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
     """
     spark = pairs.sparkSession
     sc = spark.sparkContext
-    pairs = with_starts(pairs)
     seen = pairs.where("c > 0")
     count, training = pairs.agg(F.count("*"), F.count_if(F.col("c") > 0)).first()
     got = seen.mapInArrow(_count_bytes, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
@@ -408,14 +516,12 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
     for v in (0, 1):
         n[cell >> BITS, v, cell & ((1 << BITS) - 1)] = cells[f"n{v}"].to_numpy()
     tables = sc.broadcast(n)
-    # words of the same first bytes meet, so that the counts of longer beginnings are whole
-    start = F.xxhash64(_start())
-    buckets = shuffle_buckets(spark, count, BUCKET)
-    rows = pairs.withColumn("bucket", F.pmod(start, F.lit(buckets)))
+    rows, seen = parted(pairs)
+    rows = _dealt(rows, shuffle_buckets(spark, count, BUCKET))
     k = COUNTS * PLACES
-    # trainers are groups of whole starts whose number follows the corpus alone, so that weights do not depend on the session
+    # trainers are groups of whole parts whose number follows the corpus alone, so that weights do not depend on the session
     trainers = max(TRAINERS, -(-training // TRAINED))
-    parts = seen.groupBy(F.pmod(F.xxhash64(_start(), F.lit(3)), F.lit(trainers)).alias("bucket")).applyInPandas(_train(tables, code), "x array<double>")
+    parts = _dealt(seen, trainers, F.lit(3)).groupBy("bucket").applyInArrow(_train(tables, code), "x array<double>")
     got = parts.select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("x")).toPandas()
     x = np.zeros(k * (INPUTS + 1) + COUNTS * BINS * 2)
     x[got["pos"].to_numpy(int)] = got["x"].to_numpy()
@@ -424,36 +530,38 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
     table = x[-COUNTS * BINS * 2 :].reshape(COUNTS, BINS, 2)
     centre = _squash((np.arange(BINS) - BINS // 2) / 2)
     model = sc.broadcast((w, ((table[:, :, 1] + 8 * centre) / (table.sum(2) + 8)).astype(np.float32)))
-    return rows.groupBy("bucket").applyInPandas(_score(tables, code, model), "state int, word binary, c long, n long, first boolean, model double")
+    return rows.groupBy("bucket").applyInArrow(_score(tables, code, model), "state int, word binary, c long, n long, first boolean, model double")
 
 
 def _sum_known(known):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen, base, model, group = known.value  # by word; model by state and word, NaN if not held
+        end = number.get(END, -1)
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            rare: list[list] = [[] for _ in range(4)]
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = _words(text)
-                words.append(END)
-                at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
-                sets = np.where(at >= 0, group[at], 0)  # frequent words are all held
-                last = np.maximum.accumulate(np.where(sets > 0, np.arange(len(sets)), -1))
-                state = np.append(0, np.where(last >= 0, sets[last], 0)[:-1])
-                score = np.where(at >= 0, model[state, at], np.nan)
-                new = np.isnan(score)
-                if new.any():
-                    counts = Counter(zip(state[new].tolist(), [words[k] for k in np.flatnonzero(new).tolist()], strict=True))
-                    for column, own in zip(rare, (repeat(rid, len(counts)), [s for s, _ in counts], [w for _, w in counts], counts.values()), strict=True):
-                        column.extend(own)
-                    at, score = at[~new], score[~new]
-                for column, own in zip(out, (len(words), sum(map(len, words)) + len(words), int(seen[at].sum()), float(base[at].sum()), float(score.sum())), strict=True):
-                    column.append(own)
-            n, m = batch.num_rows, len(rare[0])
-            own = [batch.column(0), batch.column(1), batch.column(3), *[pa.array(v, t) for v, t in zip(out, TYPES[3:8], strict=True)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
+            words, n = _tokens(batch.column(2))
+            bytes_of = np.bincount(np.repeat(np.arange(len(n)), n), pc.binary_length(words).to_numpy(), len(n)).astype(np.int64)
+            words = words.dictionary_encode()
+            token, names = words.indices.to_numpy(), _binary(words.dictionary)
+            held = np.fromiter((number.get(w, -1) for w in names.to_pylist()), np.int64, len(names))
+            sets = np.where(held >= 0, group[held], 0) if len(held) else held  # frequent words are all held
+            before, last = _states(sets[token], n)
+            # the end of a text is one more token
+            text = np.concatenate([np.repeat(np.arange(len(n)), n), np.arange(len(n))])
+            at, state = np.concatenate([held[token], np.full(len(n), end)]), np.concatenate([before, last])
+            score = np.where(at >= 0, model[state, at], np.nan)
+            new = np.isnan(score)
+            told = ~new
+            sums = [np.bincount(text[told], x, len(n)) for x in (seen[at[told]], base[at[told]], score[told])]
+            size = len(names) + 1
+            token = np.append(token, np.full(len(n), len(names)))
+            row, tf = np.unique((text[new] * (GROUPS + 1) + state[new]) * size + token[new], return_counts=True)
+            out = [n + 1, bytes_of + n + 1, sums[0].astype(np.int64), *sums[1:]]
+            own = [batch.column(0), batch.column(1), batch.column(3), *[pa.array(v, t) for v, t in zip(out, TYPES[3:8], strict=True)], *[pa.nulls(len(n), t) for t in TYPES[8:]]]
             yield pa.RecordBatch.from_arrays(own, list(NAMES))
-            if m:
-                own = [pa.array(rare[0], pa.int64()), *[pa.nulls(m, t) for t in TYPES[1:8]], pa.array(rare[1], pa.int32()), pa.array(rare[2], pa.binary()), pa.array(rare[3], pa.int64())]
+            if m := len(row):
+                word = pa.concat_arrays([names, pa.array([END], pa.binary())]).take(pa.array(row % size))
+                row //= size
+                own = [batch.column(0).take(pa.array(row // (GROUPS + 1))), *[pa.nulls(m, t) for t in TYPES[1:8]], pa.array(row % (GROUPS + 1), pa.int32()), word, pa.array(tf, pa.int64())]
                 yield pa.RecordBatch.from_arrays(own, list(NAMES))
 
     return run
