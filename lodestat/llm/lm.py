@@ -286,6 +286,24 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+class Packed:
+    """Whole numbers not below zero; pickled, they are compressed, and unpickled, they are a plain array.
+
+    A broadcast lies on the disks of the driver and of every executor as it was pickled, and most cells of a small corpus are empty.
+    """
+
+    def __init__(self, n: np.ndarray):
+        self.n = n.astype(np.uint32) if n.max(initial=0) < 2**32 else n
+
+    def __reduce__(self) -> tuple:
+        return _unpacked, (pa.compress(np.ascontiguousarray(self.n), "zstd", asbytes=True), self.n.dtype.str, self.n.shape)
+
+
+def _unpacked(packed: bytes, kind: str, shape: tuple[int, ...]) -> np.ndarray:
+    size = int(np.prod(shape)) * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(packed, size, "zstd"), kind).reshape(shape)
+
+
 _held: dict[int, np.ndarray] = {}
 
 
@@ -515,7 +533,7 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
     cell = cells["cell"].to_numpy()
     for v in (0, 1):
         n[cell >> BITS, v, cell & ((1 << BITS) - 1)] = cells[f"n{v}"].to_numpy()
-    tables = sc.broadcast(n)
+    tables = sc.broadcast(Packed(n))
     rows, seen = parted(pairs)
     rows = _dealt(rows, shuffle_buckets(spark, count, BUCKET))
     k = COUNTS * PLACES

@@ -1,5 +1,6 @@
 """Counts of a start's words that several parts hold, and words and states of whole batches."""
 
+import pickle
 import random
 from types import SimpleNamespace
 
@@ -58,6 +59,21 @@ def test_model_scores_do_not_depend_on_how_a_start_is_split(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == len(rows)
 
 
+def test_tables_of_a_small_corpus_take_little_disk(spark, monkeypatch):
+    """What is broadcast lies on the disks of the driver and of each executor: 64 MB each, were it plain."""
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(len(pickle.dumps(value))) or broadcast(sc, value))
+    rows = hot_start(spark)[1]
+    scored = {(r.state, r.word): r.model for r in lm.pair_scores(rows).collect()}
+    assert sum(sent) < 1 << 20
+    monkeypatch.setattr(lm, "Packed", lambda n: n)
+    assert {(r.state, r.word): r.model for r in lm.pair_scores(rows).collect()} == scored
+    for top in (5, 2**33):
+        plain = np.array([[0, 1, top], [7, 0, 3]], float)
+        assert (pickle.loads(pickle.dumps(lm.Packed(plain))) == plain).all()
+
+
 def test_words_of_a_batch_are_those_of_each_text():
     """Words, and the state before each, worked out for a batch together."""
     rng = random.Random(5)
